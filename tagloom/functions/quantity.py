@@ -78,7 +78,7 @@ NO = ["no", "n", "false", "0", "нет", "н"]
 PLAIN = r"(?:\d{1,3}(?:[ ']\d{3})+(?:[.,]\d+)?|\d{1,3}(?:,\d{3})+\.\d+|\d{1,3}(?:\.\d{3})+,\d+|\d+(?:[.,]\d+)?)(?:[eE][+-]?\d+)?"
 FRACTION = r"(?:\d+[ -])?\d+/\d+(?![\d/])"
 NUMBER = rf"(?:minus |[+-] ?)?(?:{FRACTION}|{PLAIN})"
-REST = r"((?![\d.,+\-/]).{0,14})"
+REST = r"((?![\d.,+\-/ ÷]|to |до ).{0,14})"
 
 
 def unit_key(c: Column) -> Column:
