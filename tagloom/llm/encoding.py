@@ -17,8 +17,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàâäçèéêëîïôöùûüÿœæßаб
 SHOWN_AS = ["cp1252", "latin-1", "cp1251", "cp866", "koi8-r", "mac-roman", "cp437"]
 WRITTEN_AS = ["utf-8", "cp1251", "cp866", "koi8-r", "cp1252"]
 # Characters that correct texts of the five languages hardly have inside words.
-ODD = r"\x80-\x9f¡-¯±´¶¸-¿À-ßð÷øý-þĂ-ſƒˆ˜Ђ-ЏѐђѓѕјљњћќўџѠ-҈‚„†‡‰‹›€™�─-╿▀-▟■√≤≥⌠⌡░▒▓∙·"
+ODD = r"\x80-\x9f¡-¦¨-ª¬-¯´¶¸-º¼¾¿À-ßð÷øý-þĂ-ſƒˆ˜Ђ-ЏѐђѓѕјљњћќўџѠ-҈‚†‡‰‹›€™�─-╿▀-▟■√⌠⌡∙"
 # --------------------------------------------------------------------------------------------------
+LOST_BYTE = "�"
 K = len(LETTERS) + 6
 SPACE, DIGIT, ASCII, SIGN, ODD_CHAR, LOST = range(len(LETTERS), K)
 
@@ -60,7 +61,7 @@ def pair_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(K * K, "int64")
         for b in batches:
-            kept = "\n".join(line for t in b["text"] if t for line in t.split("\n") if CLEAN_LINE.fullmatch(line))
+            kept = "\n".join(line for t in b["text"] if t for line in t.split("\n") if CLEAN_LINE.fullmatch(line) and not UPPER_INSIDE.search(line))
             c = codes(kept).astype("int32")
             if len(c) > 1:
                 total += np.bincount(c[:-1] * K + c[1:], minlength=K * K)
@@ -83,68 +84,100 @@ def costs(counts: np.ndarray) -> np.ndarray:
     return c.astype("float32")
 
 
-UPPER_INSIDE = re.compile(r"[a-zà-öø-ÿа-яёіїєґ][A-ZÀ-ÖØ-ÞА-ЯЁІЇЄҐ]")
-ASCII_WORD = re.compile(r"[\x21-\x7e]*")
+UPPER_INSIDE = re.compile(r"[a-zà-öø-ÿа-яёіїєґ][A-ZÀ-ÖØ-ÞА-ЯЁІЇЄҐ]{2}|[а-яёіїєґ][А-ЯЁІЇЄҐ][а-яёіїєґ]")
+STRANGE = re.compile(f"[^\\W\\d_\x00-\x7f]|[{ODD}]")
+SURE = re.compile("[\x80-\x84\x86-\x9f�]")
+PLAIN = re.compile(f"(?i)[\x21-\x7e{LETTERS}°±²³µ·×«»—–‘’“”„…€№•§½¼″Øø≈≤≥→Δ�]+")
+SAME = ("", 0.0, ())
 
 
 class Repairer:
-    """Best-first search over re-encodings of a line; the cost of its character pairs guides it to the cheapest text."""
-
-    def __init__(self, cost: np.ndarray, margin: float = 9.0, depth: int = 3, states: int = 40):
-        self.cost, self.margin, self.depth, self.states = cost, margin, depth, states
-        self.known: dict[str, float] = {}
+    """Best-first search over re-encodings of a word; the cost of its character pairs guides it to the cheapest text.
 
-    def word_cost(self, w: str) -> float:
-        c = self.known.get(w)
-        if c is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            k = codes(f" {w} ")
-            c = self.known[w] = float(self.cost[k[:-1], k[1:]].sum()) + 4.0 * len(UPPER_INSIDE.findall(w))
-        return c
+    Words are what stands between plain spaces, so that sequences of bytes shown as no-break spaces stay whole. What
+    was found for a word is kept, as the same words come again in many lines.
+    """
 
-    def line_cost(self, words: tuple[str, ...]) -> float:
-        return sum(map(self.word_cost, words))
+    def __init__(self, cost: np.ndarray, depth: int = 3, states: int = 40):
+        self.cost, self.depth, self.states = cost, depth, states
+        self.known: dict[str, tuple[str, float, tuple]] = {}
 
-    def steps(self, words: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
-        """What the line becomes when one reading is undone in every word that gets cheaper by it."""
+    def word_cost(self, w: str) -> float:
+        k = codes(f" {w} ")
+        return float(self.cost[k[:-1], k[1:]].sum()) + 4.0 * len(UPPER_INSIDE.findall(w))
+
+    def steps(self, w: str, wide: bool) -> Iterator[tuple[str, tuple]]:
+        """What the word becomes when one reading is undone; wide: one byte for one character too."""
+        if "&" in w:
+            yield html.unescape(w), ("html",)
+        if "\\u" in w:
+            yield re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), w), ("unicode",)
         for shown in SHOWN_AS:
-            for written in WRITTEN_AS:
-                if shown != written:
-                    yield self._each(words, lambda w, a=shown, b=written: reread(w, a, b))
-        if any("&" in w for w in words):
-            yield self._each(words, html.unescape)
-        if any("\\u" in w for w in words):
-            yield self._each(words, lambda w: re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), w))
-
-    def _each(self, words: tuple[str, ...], change) -> tuple[str, ...]:  # noqa: ANN001
-        out = []
-        for w in words:
-            new = None if ASCII_WORD.fullmatch(w) and "&" not in w and "\\" not in w else change(w)
-            out.append(new if new and new != w and self.word_cost(new) < self.word_cost(w) else w)
-        return tuple(out)
-
-    def repair(self, line: str) -> tuple[str, float]:
-        """(the cheapest text reached, by how much it is cheaper)."""
-        first = tuple(line.split(" "))
-        start = self.line_cost(first)
-        best, best_cost = first, start
-        heap, seen, tick = [(start, 0, 0, first)], {first}, 0
+            for written in WRITTEN_AS if wide else WRITTEN_AS[:1]:
+                if shown != written and (new := reread(w, shown, written)) is not None and new != w:
+                    yield new, (shown, written)
+
+    def search(self, w: str) -> tuple[str, float, tuple]:
+        """(the cheapest text, by how much it is cheaper, the steps to it); no steps where the word is sound."""
+        start = self.word_cost(w)
+        wide = len(STRANGE.findall(w)) > 1 and start > 3.9 * (len(w) + 1)
+        best = (start, w, ())
+        heap, seen = [(start, w, ())], {w}
         while heap and len(seen) < self.states:
-            c, _, d, words = heapq.heappop(heap)
-            if c < best_cost:
-                best, best_cost = words, c
-            if d == self.depth:
+            c, at, way = heapq.heappop(heap)
+            if way and c < 3.3 * (len(at) + 1) and PLAIN.fullmatch(at):
+                break
+            if len(way) == self.depth:
                 continue
-            for new in self.steps(words):
+            for new, step in self.steps(at, wide):
                 if new not in seen:
                     seen.add(new)
-                    tick += 1
-                    heapq.heappush(heap, (self.line_cost(new), tick, d + 1, new))
-        for c, _, _, words in heap:
-            if c < best_cost:
-                best, best_cost = words, c
-        return " ".join(best), start - best_cost
+                    state = (self.word_cost(new), new, (*way, step))
+                    if PLAIN.fullmatch(new):
+                        best = min(best, state)
+                    heapq.heappush(heap, state)
+        c, new, way = best
+        gain = start - c
+        joined = any(step[-1] in ("utf-8", "html", "unicode") for step in way)
+        if way and (gain > 4.0 if joined else gain > max(7.0, 1.1 * len(w)) and c < 4.2 * (len(new) + 1)):
+            return new, gain, way
+        return SAME
+
+    def word(self, w: str) -> tuple[str, float, tuple]:
+        found = self.known.get(w)
+        if found is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            found = self.known[w] = self.search(w)
+        return found
+
+    def repair(self, line: str) -> tuple[bool, str | None]:
+        """(True if the line has wrongly decoded characters, the restored line or null).
+
+        The way that gains most over the whole line is tried in every word, so that short words follow the long ones.
+        """
+        words = line.split(" ")
+        ways: dict[tuple, float] = {}
+        for w in words:
+            if not w.isascii() or "&" in w or "\\u" in w:
+                _, gain, way = self.word(w)
+                if way:
+                    ways[way] = ways.get(way, 0.0) + gain
+        if not ways:
+            return bool(SURE.search(line)), None
+        main = max(ways, key=ways.get)
+        return True, " ".join(self._along(w, main) if not w.isascii() or "&" in w or "\\u" in w else w for w in words)
+
+    def _along(self, w: str, way: tuple) -> str:
+        new: str | None = w
+        for step in way:
+            if new is None:
+                break
+            new = html.unescape(new) if step == ("html",) else re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), new) if step == ("unicode",) else reread(new, *step)
+        own = self.word(w)
+        if new is not None and new != w and PLAIN.fullmatch(new) and self.word_cost(new) < self.word_cost(w):
+            return new
+        return own[0] if own[2] else w
 
 
 def _bytes(text: str, shown: str) -> bytes:
@@ -163,9 +196,6 @@ def _bytes(text: str, shown: str) -> bytes:
         return bytes(out)
 
 
-LOST_BYTE = "�"
-
-
 def reread(text: str, shown: str, written: str) -> str | None:
     """The text whose bytes in written were shown by shown, or null; for UTF-8 lost characters stay lost."""
     try:
@@ -178,58 +208,36 @@ def reread(text: str, shown: str, written: str) -> str | None:
         return None
 
 
-SURE = re.compile("[\x80-\x84\x86-\x9f�]")
-
-
-def lines_of(text: str) -> list[str]:
-    return text.split("\n")
-
-
-def wrong_lines(documents: DataFrame, counts: np.ndarray, key: str = "doc_id", text: str = "text", margin: float = 9.0) -> DataFrame:
+def wrong_lines(documents: DataFrame, counts: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, garbled, restored): the lines, cut at newlines and counted from 0, that hold wrongly decoded characters.
 
-    A line is taken when a re-reading of its bytes is cheaper by the margin, in nats of the pair model counts; or when
-    it has control or replacement characters, which no correct text has. restored is null for lines of which nothing
-    could be restored. Null and empty texts give no row; each row is judged for itself, so repeated texts come out each.
+    A line is taken when a re-reading of the bytes of one of its words is clearly cheaper by the pair model counts, or
+    when it has control or replacement characters, which no correct text has. restored is null for lines of which
+    nothing could be restored. Null and empty texts give no row; each row is judged for itself, so repeated texts
+    come out each.
     """
     cost = costs(counts)
     kind = documents.schema[key].dataType.simpleString()
-    high = float(np.median(cost[: len(LETTERS), : len(LETTERS)]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fix = Repairer(cost, margin)
+        fix = Repairer(cost)
         for b in batches:
             rows = []
             for k, t in zip(b["key"], b["text"], strict=True):
-                if not t or t.isascii():
+                if not t:
                     continue
-                for i, line in enumerate(lines_of(t)):
-                    if line.isascii() or not suspicious(line, cost, high):
+                for i, line in enumerate(t.split("\n")):
+                    if line.isascii() and "&" not in line and "\\u" not in line:
                         continue
-                    new, gain = fix.repair(line)
-                    if gain >= margin or SURE.search(line):
-                        rows.append((k, i, line, new if gain > 0 else None))
+                    wrong, new = fix.repair(line)
+                    if wrong:
+                        rows.append((k, i, line, new))
             yield pd.DataFrame(rows, columns=["key", "line_no", "garbled", "restored"])
 
     out = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null").mapInPandas(run, f"key {kind}, line_no int, garbled string, restored string")
     return out.withColumnRenamed("key", key)
 
 
-ODD_RUN = re.compile(f"[{ODD}]")
-
-
-def suspicious(line: str, cost: np.ndarray, high: float, window: int = 12) -> bool:
-    """A cheap look before the search: an odd character, a capital inside a word, or a dear run of letters anywhere in the line."""
-    if ODD_RUN.search(line) or UPPER_INSIDE.search(line):
-        return True
-    c = codes(line)
-    if len(c) < 3:
-        return False
-    s = np.concatenate([[0.0], np.cumsum(cost[c[:-1], c[1:]])])
-    w = min(window, len(s) - 1)
-    return bool(((s[w:] - s[:-w]) / w).max() > 0.75 * high)
-
-
 def find(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """wrong_lines with the pair model counted over the same documents."""
     return wrong_lines(documents, pair_counts(documents, text), key, text)
