@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import bpe, encoding
+from tagloom.llm import bpe, canonical, encoding, leakage
 from tagloom.session import table
 
 
@@ -20,4 +20,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_lines(spark, sf_dir).select("doc_id", "line_no")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p10_found, p10_lines)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.free_entries(spark, *(table(spark, sf_dir, n) for n in ("register", "properties", "validations", "allowed_items"))).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_found, p10_found, p10_lines)}
