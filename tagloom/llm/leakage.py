@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +38,9 @@ def edit_distance(a: list[str], b: list[str], band: int) -> int:
     """Words to replace, add or leave out between a and b, worked out in a band round the diagonal; band + 1 if more."""
     if abs(len(a) - len(b)) > band:
         return band + 1
+    common = set(a).intersection(b)
+    if max(sum(w not in common for w in a), sum(w not in common for w in b)) > band:
+        return band + 1
     row = {j: j for j in range(min(len(b), band) + 1)}
     for i in range(1, len(a) + 1):
         new = {}
@@ -54,14 +56,14 @@ def edit_distance(a: list[str], b: list[str], band: int) -> int:
 class Items:
     """The held-out items with an index of their q-grams.
 
-    A passage of at least min_words words with one error in per words holds an exact run of run_words words, since
-    the errors cut the words that stay into too few pieces for all to be shorter. Therefore, by the q-gram lemma, it
-    shares at least the shortest such run's length - q + 1 q-grams on one diagonal with the item; that is the bound.
+    A passage of n words with e errors keeps n - e words in at most e + 1 exact runs, so by the q-gram lemma it shares
+    at least their letters - (e + 1) * (q - 1) q-grams with the item. least is the smallest such count over all
+    passages of min_words up to two errors in the items; longer ones hold more. The runs of such a passage lie on
+    diagonals not further apart than the lengths of two words, thus within one of the bands, which overlap by half.
     """
 
     def __init__(self, rows: list[tuple[int, str]], q: int = 10, min_words: int = 12, per: int = 8):
         self.q, self.min_words, self.per = q, min_words, per
-        run_words = min(-(-(n - n // per) // (n // per + 1)) for n in range(min_words, 12 * per + min_words))
         hashes, owners, places = [], [], []
         self.words: list[list[str]] = []
         self.starts: list[np.ndarray] = []
@@ -72,7 +74,10 @@ class Items:
             if len(words) < min_words:
                 continue
             starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            shortest = min(shortest, int((starts[run_words:] - starts[:-run_words]).min()))
+            for n in range(min_words, min(3 * per, len(words) + 1)):
+                for e in range(n // per + 1):
+                    letters = starts[n - e :] - starts[: -(n - e)]
+                    shortest = min(shortest, int(letters.min()) - (e + 1) * (q - 1))
             h = _grams(_stream("".join(words)), q)
             hashes.append(h)
             owners.append(np.full(len(h), len(self.ids)))
@@ -80,7 +85,7 @@ class Items:
             self.ids.append(item)
             self.words.append(words)
             self.starts.append(starts)
-        self.least = max(1, shortest - q + 1)
+        self.least = max(1, shortest)
         h = np.concatenate(hashes) if hashes else np.zeros(0, "uint64")
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
@@ -101,18 +106,17 @@ class Items:
     def leaked(self, words: list[str], at: np.ndarray, owner: np.ndarray, place: np.ndarray) -> list[int]:
         """Items of which the document, given as words and its hits, holds a passage."""
         starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        width = 4 * self.q
-        found = []
-        for item in np.unique(owner):
-            m = owner == item
-            a, p = at[m], place[m]
-            diagonal = a - p
-            regions = defaultdict(int)
-            for band in (diagonal // width).tolist():
-                regions[band] += 1
-                regions[band - 1] += 1  # bands overlap by half
-            if max(regions.values()) >= self.least and self._verify(words, starts, int(item), a, diagonal):
-                found.append(self.ids[item])
+        width = 64
+        big = np.int64(1) << 40
+        own = owner.astype("int64") * big + (at - place) // width + (big >> 1)
+        keys, n = np.unique(np.concatenate([own, own - 1]), return_counts=True)
+        found: list[int] = []
+        for k in keys[n >= self.least].tolist():
+            item = k // int(big)
+            if self.ids[item] not in found:
+                m = (own == k) | (own == k + 1)
+                if self._verify(words, starts, item, at[m], at[m] - place[m]):
+                    found.append(self.ids[item])
         return found
 
     def _verify(self, words: list[str], starts: np.ndarray, item: int, a: np.ndarray, diagonal: np.ndarray) -> bool:
@@ -128,11 +132,14 @@ class Items:
             if i1 > i0:
                 runs.append((i0, i1, int(np.searchsorted(starts, s[i0] + shift, "left")), int(np.searchsorted(starts, s[i1] + shift, "left"))))
         runs.sort()
+        if any(i1 - i0 >= self.min_words for i0, i1, _, _ in runs):
+            return True
+        end = max((r[1] for r in runs), default=0)
         for first in range(len(runs)):
             i0, i1, w0, w1 = runs[first]
-            errors = 0
-            if i1 - i0 >= self.min_words:
-                return True
+            errors, allowed = 0, (end - i0) // self.per
+            if end - i0 < self.min_words:
+                break
             for j0, j1, v0, v1 in runs[first + 1 :]:
                 if j1 <= i1 or v1 <= w1 or v0 < w0:
                     continue
@@ -140,8 +147,7 @@ class Items:
                 j0, v0 = j0 + skip, v0 + skip
                 if j0 >= j1:
                     continue
-                allowed = len(self.words[item]) // self.per
-                errors += edit_distance(self.words[item][i1:j0], words[w1:v0], allowed)
+                errors += edit_distance(self.words[item][i1:j0], words[w1:v0], allowed - errors)
                 i1, w1 = j1, v1
                 if errors > allowed:
                     break
@@ -167,12 +173,13 @@ def _block(documents: DataFrame, items: Items, key: str, text: str, chars: int =
                 ends = np.cumsum([len(s) + 1 for s in streams])
                 at, owner, place = items.hits(_stream("\n".join(streams)))
                 doc = np.searchsorted(ends, at, "right")
-                for d in np.unique(doc):
-                    m = doc == d
-                    if m.sum() >= items.least:
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]]).tolist()
+                for first, last in zip(cuts, cuts[1:]):  # noqa: B905
+                    if last - first >= items.least:
+                        d = int(doc[first])
                         words = WORD.findall(texts[lo + d].lower())
                         begin = ends[d - 1] if d else 0
-                        rows += [(keys[lo + d], i) for i in items.leaked(words, at[m] - begin, owner[m], place[m])]
+                        rows += [(keys[lo + d], i) for i in items.leaked(words, at[first:last] - begin, owner[first:last], place[first:last])]
                 lo = hi
             yield pd.DataFrame(rows, columns=["key", "item_id"])
 
