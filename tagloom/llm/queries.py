@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import bpe, canonical, encoding, leakage
+from tagloom.llm import bpe, canonical, encoding, glyphs, language, leakage
 from tagloom.session import table
 
 
@@ -28,4 +28,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.free_entries(spark, *(table(spark, sf_dir, n) for n in ("register", "properties", "validations", "allowed_items"))).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_found, p10_found, p10_lines)}
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(spark, table(spark, sf_dir, "files"), table(spark, sf_dir, "file_labels"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.to_relabel(p4_languages(spark, sf_dir))
+
+
+def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.fixed_places(table(spark, sf_dir, "files"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_places(spark, sf_dir).select("file_id", "field", "place")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_languages, p6_found, p6_places, p8_ids, p9_found, p10_found, p10_lines)}
