@@ -64,19 +64,25 @@ class Svm:
         rng = np.random.default_rng(5)
         w, mean, t = np.zeros(DIM), np.zeros(DIM), 1
         scale = 1.0
+        share = {1.0: max((signs > 0).mean(), 1e-3), -1.0: max((signs < 0).mean(), 1e-3)}
+        weight = {k: min(0.5 / v, 10.0) for k, v in share.items()}
         for _ in range(rounds):
             for i in rng.permutation(len(rows)):
-                x, y = rows[i], signs[i]
-                step = 1.0 / (strength * (t + 1e4))
-                margin = y * scale * w[x].sum() / len(x)
+                x, y = rows[i], float(signs[i])
+                unit = 1.0 / np.sqrt(len(x))
+                step = 1.0 / (strength * (t + 1e5))
+                margin = y * scale * w[x].sum() * unit
                 scale *= 1.0 - step * strength
                 if margin < 1:
-                    w[x] += step * y / (scale * len(x))
+                    np.add.at(w, x, step * weight[y] * y * unit / scale)
                 t += 1
             mean += scale * w
         self.weights = (mean / rounds).astype("float32")
         return self
 
+    def margin(self, x: np.ndarray) -> float:
+        return float(self.weights[x].sum()) / np.sqrt(len(x))
+
 
 @dataclass
 class Segment:
@@ -155,18 +161,19 @@ class Discriminator:
             if len(self.known) > 200_000:
                 self.known.clear()
             x = features(word)
-            s = self.known[word] = np.array([m.weights[x].mean() for m in self.machines])
+            s = self.known[word] = np.array([*(m.weights[x].sum() for m in self.machines), len(x)])
         return s
 
     def judge(self, words: list[str], fam: str) -> tuple[str, float]:
         """(language, confidence): most duels won, ties by margin; the confidence is the least sure of the winner's duels."""
-        sums = np.mean([self.score(w) for w in words], axis=0)
+        sums = np.sum([self.score(w) for w in words], axis=0)
+        sums = sums[:-1] / np.sqrt(sums[-1])
         won = dict.fromkeys(FAMILIES[fam], 0.0)
         sure = dict.fromkeys(FAMILIES[fam], 1.0)
         for m, v in zip(self.machines, sums.tolist(), strict=True):
             if m.first in won:
                 a, b = (m.first, m.second) if v >= 0 else (m.second, m.first)
-                chance = 1.0 / (1.0 + np.exp(-m.slope * abs(v) * np.sqrt(len(words))))
+                chance = 1.0 / (1.0 + np.exp(-m.slope * abs(v)))
                 won[a] += 1 + min(abs(v), 0.9) / 10
                 sure[a], sure[b] = min(sure[a], chance), min(sure[b], 1 - chance)
         best = max(won, key=lambda x: (won[x], x))
@@ -176,11 +183,12 @@ class Discriminator:
         """A language for every segment; one that is short or unsure goes with its neighbours of the same family."""
         for s in segs:
             s.lang, s.confidence = self.judge([w for w, _ in s.words], s.family)
+        sure = [len(s.words) >= 4 and s.confidence >= (0.99 if len(s.words) < 10 else 0.75) for s in segs]
         for i, s in enumerate(segs):
-            if len(s.words) < 4 or s.confidence < 0.75:
-                near = [n for n in (*segs[max(0, i - 2) : i], *segs[i + 1 : i + 3]) if n.family == s.family and n.confidence >= 0.75 and len(n.words) >= 4]
-                if near and (len(s.words) < 3 or s.confidence < 0.9) and all(n.lang == near[0].lang for n in near):
-                    s.lang = near[0].lang
+            if not sure[i]:
+                near = [k for k, other in enumerate(segs) if sure[k] and other.family == s.family]
+                if near:
+                    s.lang = segs[min(near, key=lambda k: (abs(k - i), k > i))].lang
 
 
 def train(files: DataFrame, labels: DataFrame, max_files: int = 2_000, max_segments: int = 24_000) -> Discriminator:
@@ -215,15 +223,15 @@ def _duel(a: str, b: str, pdf: pd.DataFrame) -> Svm:
     cache: dict[str, list[int]] = {}
     x = []
     for s in rows.words:
-        x.append([f for w in s.split(" ") for f in (cache.get(w) or cache.setdefault(w, features(w)))])
+        x.append(np.array([f for w in s.split(" ") for f in (cache.get(w) or cache.setdefault(w, features(w)))]))
     y = np.where(rows.lang == a, 1.0, -1.0)
     svm = Svm(a, b)
     if len(x) and abs(y.sum()) < len(y):
         svm.fit(x, y, 2)
-        margin = np.array([svm.weights[i].mean() for i in x])
-        keep = np.flatnonzero(y * margin > -0.15 * np.abs(margin).max())
+        margin = np.array([svm.margin(i) for i in x])
+        keep = np.flatnonzero(y * margin > -0.3)
         svm.fit([x[i] for i in keep], y[keep])
-        svm.slope = _slope(np.array([svm.weights[x[i]].mean() * np.sqrt(len(x[i]) / 20) for i in keep]), y[keep])
+        svm.slope = _slope(np.array([svm.margin(x[i]) for i in keep]), y[keep])
     return svm
 
 
