@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import bpe, canonical, encoding, glyphs, language, leakage
+from tagloom.llm import bpe, canonical, encoding, glyphs, language, leakage, ocr
 from tagloom.session import table
 
 
@@ -44,4 +44,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_places(spark, sf_dir).select("file_id", "field", "place")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_languages, p6_found, p6_places, p8_ids, p9_found, p10_found, p10_lines)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.repairs(spark, table(spark, sf_dir, "files"))
+
+
+def p7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.readable(spark, table(spark, sf_dir, "files"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_languages, p6_found, p6_places, p7_found, p7_paragraphs, p8_ids, p9_found, p10_found, p10_lines)}
