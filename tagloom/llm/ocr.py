@@ -15,28 +15,18 @@ from tagloom.llm.glyphs import canonical
 from tagloom.llm.pages import TORN_MARKS, Page, heads_of, read
 
 # --- fixed values: characters that scanning takes for one another; each group shares its first sign ---
-CONFUSED = ["o0оО", "l1iI|!íî", "z2", "s5$", "b6", "g9q", "ec", "tf", "B8", "uv", "hn", "h", "тгr", "инй", "лпд", "з3э", "в8", "б6", "ч4", "шщ", "ьъы", "её"]
-CONFUSED_PAIRS = [("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("li", "h"), ("nn", "m"), ("ri", "n"), ("пп", "л"), ("ьl", "ы"), ("iп", "ш")]
+LATIN_CONFUSED = ["o0", "l1i|!íî", "z2", "s5$", "hnb6", "g9q", "ec", "tf"]
+LATIN_SPREAD = {"m": "rh", "d": "el", "u": "ll", "w": "vv"}  # as rn, cl, ii and vv, in the signs above
+CYRILLIC_CONFUSED = ["о0", "ес", "тг", "инй", "лпд", "з3э", "в8", "б6", "ч4", "шщ", "ьъы"]
 # ------------------------------------------------------------------------------------------------------
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 LETTERS = re.compile(r"[^\W\d_]")
 CODE = re.compile(r"[A-Z]{1,3}\d{2,}[A-Z]?|\d[\w\-]*-[\w\-]+|[\d.,]+|[A-Z]{1,2}\d+")
-PLAIN_WORD = re.compile(r"[^\W\d_]{2,}(?:['’\-][^\W\d_]+)*")
+PLAIN_WORD = re.compile(r"(?=..)[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
-def _folds() -> tuple[dict[int, str], dict[int, str]]:
-    latin: dict[str, str] = {}
-    cyrillic: dict[str, str] = {}
-    for group in CONFUSED:
-        own = [c for c in group.lower() if c.isalpha()]
-        table = cyrillic if any("Ѐ" <= c <= "ӿ" for c in own) else latin
-        for c in group.lower():
-            table.setdefault(c, group[0].lower())
-    cyrillic.update({"0": "о"})
-    return {ord(k): v for k, v in latin.items()}, {ord(k): v for k, v in cyrillic.items()}
-
-
-LATIN_FOLD, CYRILLIC_FOLD = _folds()
+LATIN_FOLD = str.maketrans({c: g[0] for g in LATIN_CONFUSED for c in g} | LATIN_SPREAD)
+CYRILLIC_FOLD = str.maketrans({c: g[0] for g in CYRILLIC_CONFUSED for c in g})
 
 
 def shape(word: str) -> str:
@@ -44,8 +34,6 @@ def shape(word: str) -> str:
     w = word.lower()
     if any("Ѐ" <= c <= "ӿ" for c in w):
         return w.translate(CYRILLIC_FOLD)
-    for a, b in CONFUSED_PAIRS:
-        w = w.replace(a, b)
     return w.translate(LATIN_FOLD)
 
 
