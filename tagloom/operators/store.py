@@ -15,11 +15,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, id_: str, columns: list[str
     w = Window.partitionBy(key).orderBy(*(F.col(c).desc_nulls_last() for c in columns))
     fresh = new.filter(F.col(key).isNotNull()).select(key, *(F.col(c).alias(f"__{c}") for c in columns), F.row_number().over(w).alias("__n")).filter("__n = 1").drop("__n").withColumn("__new", F.lit(True))
     both = old.select(id_, key, *columns).join(fresh, key, "full_outer")
-    top = old.agg(F.coalesce(F.max(id_), F.lit(0)).alias("__top"))
+    top = old.agg(F.coalesce(F.max(id_), F.lit(0))).first()[0]
     taken = F.coalesce("__new", F.lit(False))
     kept = both.filter(F.col(id_).isNotNull())
     numbers = _numbered(fresh.join(old.select(key), key, "left_anti").select(key), key)
-    added = both.filter(F.col(id_).isNull()).join(numbers, key).crossJoin(F.broadcast(top)).withColumn(id_, F.col("__top") + F.col("__r"))
+    added = both.filter(F.col(id_).isNull()).join(numbers, key).withColumn(id_, F.col("__r") + F.lit(top))
     out = lambda d: d.select(F.col(id_), key, *(F.when(taken, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in columns))
     return out(kept).unionByName(out(added))
 
@@ -29,7 +29,7 @@ def _numbered(keys: DataFrame, key: str) -> DataFrame:
     spread = keys.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
     local = spread.withColumn("__i", F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33))
     sizes = local.groupBy("__p").agg((F.max("__i") + 1).alias("__c"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__p")).agg(F.coalesce(F.sum("b.__c"), F.lit(0)).alias("__before"))
+    before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__before"))  # one row a partition
     return local.join(before, "__p").select(key, (F.col("__before") + F.col("__i") + 1).alias("__r"))
 
 
