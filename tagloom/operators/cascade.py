@@ -12,9 +12,10 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values ---------------------------------------------------------------------------------
-NO_ANSWERS = ["N/A", "none", "no", "нет", "n/a", "{}", "json", "JSON", "JSON:", '{"value": "NOANS", "uom": "NOANS"}', "NOANS"]
+NO_ANSWERS = ["N/A", "none", "no", "нет", "n/a", "{}", "json", "JSON", "JSON:", '{"value": NOANS, "uom": NOANS}', "NOANS"]
 BATCH, BATCH_MARGIN, REJECT = 10_000, 500, 100_000
 CONFIDENCE = {"table_en": 0.85, "table_ru": 0.80, "simple_en": 0.60, "simple_ru": 0.50, "tokens_en": 0.30, "tokens_ru": 0.25, "tech_specs": 0.05}
 VALUES_LIMIT = 2048
@@ -95,7 +96,7 @@ class HttpExtractor:
 
 def extract(df: DataFrame, extractor: Extractor) -> DataFrame:
     """df, which has a column prompt, with the column reply; runs in Arrow batches on the executors."""
-    schema = df.schema.add("reply", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts:
