@@ -86,7 +86,7 @@ def costs(counts: np.ndarray) -> np.ndarray:
 
 UPPER_INSIDE = re.compile(r"[a-zà-öø-ÿа-яёіїєґ][A-ZÀ-ÖØ-ÞА-ЯЁІЇЄҐ]{2}|[а-яёіїєґ][А-ЯЁІЇЄҐ][а-яёіїєґ]")
 STRANGE = re.compile(f"[^\\W\\d_\x00-\x7f]|[{ODD}]")
-SURE = re.compile("[\x80-\x84\x86-\x9f�]")
+SURE = re.compile(r"[\x80-\x84\x86-\x9f�]|(?:^|[\s(])\?{2,}")  # no correct text has these characters, or words that begin with several question marks
 PLAIN = re.compile(f"(?i)[\x21-\x7e{LETTERS}°±²³µ·×«»—–‘’“”„…€№•§½¼″Øø≈≤≥→Δ�]+")
 SAME = ("", 0.0, ())
 
@@ -139,7 +139,7 @@ class Repairer:
         c, new, way = best
         gain = start - c
         joined = any(step[-1] in ("utf-8", "html", "unicode") for step in way)
-        if way and (gain > 4.0 if joined else gain > max(7.0, 1.1 * len(w)) and c < 4.2 * (len(new) + 1)):
+        if way and (gain > 0.5 if joined else gain > max(7.0, 1.1 * len(w)) and c < 4.2 * (len(new) + 1)):
             return new, gain, way
         return SAME
 
@@ -212,7 +212,7 @@ def wrong_lines(documents: DataFrame, counts: np.ndarray, key: str = "doc_id", t
     """(key, line_no, garbled, restored): the lines, cut at newlines and counted from 0, that hold wrongly decoded characters.
 
     A line is taken when a re-reading of the bytes of one of its words is clearly cheaper by the pair model counts, or
-    when it has control or replacement characters, which no correct text has. restored is null for lines of which
+    when it has control or replacement characters, or words of question marks, which no correct text has. restored is null for lines of which
     nothing could be restored. Null and empty texts give no row; each row is judged for itself, so repeated texts
     come out each.
     """
@@ -227,7 +227,7 @@ def wrong_lines(documents: DataFrame, counts: np.ndarray, key: str = "doc_id", t
                 if not t:
                     continue
                 for i, line in enumerate(t.split("\n")):
-                    if line.isascii() and "&" not in line and "\\u" not in line:
+                    if line.isascii() and not any(x in line for x in ("&", "\\u", "??")):
                         continue
                     wrong, new = fix.repair(line)
                     if wrong:
