@@ -139,7 +139,7 @@ class Repairer:
         c, new, way = best
         gain = start - c
         joined = any(step[-1] in ("utf-8", "html", "unicode") for step in way)
-        if way and (gain > 0.5 if joined else gain > max(7.0, 1.1 * len(w)) and c < 4.2 * (len(new) + 1)):
+        if way and (gain > 0.0 if joined else gain > max(7.0, 1.1 * len(w)) and c < 4.2 * (len(new) + 1)):
             return new, gain, way
         return SAME
 
