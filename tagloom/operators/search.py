@@ -18,6 +18,7 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 HIT_LIMIT = 50
 LEAST_WIDTH, WIDTH_FACTOR = 150, 4
 MAX_TOKENS = 10
+MANY_HITS = 1_000
 # --------------------------------------------------------------------------------------------------
 
 
@@ -41,28 +42,32 @@ def overlaps_itself(needle: str) -> bool:
 def literal_hits(df: DataFrame, key: str, text: str, needle: str) -> DataFrame:
     """(key, pos): every place, counted from 0, where the needle stands in the text, without regard to case.
 
-    Hits may overlap. A needle that can't overlap itself is found by splitting, within the JVM; the rest goes through
-    an Arrow function. Null and empty texts and empty needles give no row.
+    Hits may overlap. A needle that can't overlap itself is found by splitting, within the JVM, in texts with up to
+    MANY_HITS hits, as adding up their places costs the square of their number; the rest goes through an Arrow
+    function in linear time. Null and empty texts and empty needles give no row.
     """
     n = needle.lower()
     if not n:
         return df.select(key, F.lit(0).alias("pos")).limit(0)
     rows = df.select(key, F.lower(text).alias("__t")).filter(F.col("__t").contains(n))
-    if overlaps_itself(n):
-        pattern = re.compile(f"(?={re.escape(n)})")
+    pattern = re.compile(f"(?={re.escape(n)})")
 
-        @F.pandas_udf("array<int>")
-        def places(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: [m.start() for m in pattern.finditer(t)])
+    @F.pandas_udf("array<int>")
+    def places(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [m.start() for m in pattern.finditer(t)])
 
-        return rows.select(key, F.explode(places("__t")).alias("pos"))
+    by_function = lambda d: d.select(key, F.explode(places("__t")).alias("pos"))
+    if overlaps_itself(n):
+        return by_function(rows)
+    hits = (F.length("__t") - F.length(F.replace(F.col("__t"), F.lit(n), F.lit("")))) / len(n)
     sizes = F.transform(F.split("__t", rf"\Q{n}\E", -1), lambda p: F.length(p))
     ends = F.aggregate(
         sizes,
         F.array().cast("array<int>"),
         lambda acc, s: F.concat(acc, F.array(F.when(F.size(acc) > 0, F.element_at(acc, -1) + F.lit(len(n))).otherwise(F.lit(0)) + s)),
     )
-    return rows.withColumn("__ends", ends).select(key, F.explode(F.slice("__ends", F.lit(1), F.size("__ends") - 1)).alias("pos"))
+    few = rows.filter(hits <= MANY_HITS).withColumn("__ends", ends).select(key, F.explode(F.slice("__ends", F.lit(1), F.size("__ends") - 1)).alias("pos"))
+    return few.unionByName(by_function(rows.filter(hits > MANY_HITS)))
 
 
 def hit_counts(df: DataFrame, key: str, text: str, needle: str, limit: int = HIT_LIMIT) -> DataFrame:

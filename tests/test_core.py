@@ -154,6 +154,9 @@ def test_literal_hits(spark):
     assert sorted(map(tuple, search.literal_hits(d, "k", "t", "aa").collect())) == [(1, 0), (1, 1), (1, 2)]
     assert sorted(map(tuple, search.literal_hits(d, "k", "t", "ab").collect())) == [(2, 0), (2, 2), (2, 4)]
     assert search.literal_hits(d, "k", "t", "").count() == 0
+    long = spark.createDataFrame([(1, "ab-" * 5000)], "k long, t string")
+    got = sorted(r["pos"] for r in search.literal_hits(long, "k", "t", "b-").collect())
+    assert got == [3 * i + 1 for i in range(5000)]
 
 
 @given(st.text("abс ", max_size=40), st.sampled_from(["ab", "b", "aс", "bb"]))
@@ -220,3 +223,18 @@ def test_cascade(spark):
     assert sorted(tuple(r)[:4] for r in got.collect()) == [(1, "6", "kg", "strong"), (2, "7", "mm", "weak")]
     b = spark.createDataFrame([(1, "x" * 9999), (2, "x" * 10000), (3, "x" * 100001), (4, None)], "k long, t string")
     assert sorted(tuple(r) for r in cascade.batches(b, "k", "t").collect()) == [(1, 0, 0, 9999), (2, 0, 0, 10000)]
+
+
+def test_clashing_columns_and_empty_tables(spark, world):
+    props, lists, items, tags = world
+    r = reg(spark, [("10-P-1", "design pressure", None, "250", None, "кПа"), (None, None, None, None, None, None), ("10-P-1", "design pressure", None, "250", None, "кПа")])
+    for c in ("prop_id", "list_name", "item_id", "unit_key", "q", "low", "unit_from", "value_no", "tag_key", "rank", "text", "key", "value_kind", "confidence"):
+        r = r.withColumn(c, F.lit(7))
+    p = props.withColumn("key", F.lit(1)).withColumn("n", F.lit(1)).withColumn("list_name", F.lit("z"))
+    assert sorted(map(tuple, units.converted(units.common_units(spark, r, p, lists, items), items).collect())) == [(1, 1, 2500), (3, 1, 2500)]
+    assert widen.filled(widen.wide_table(spark, r, p, tags), p).count() == 1
+    assert widen.filled(widen.wide_table(spark, r, p.limit(0), tags), p.limit(0)).count() == 0
+    files = spark.createDataFrame([(1, "A-1 B-2", 3, 4, "x")], "file_id long, mentioned_tags string, pos int, item int, rec_id string")
+    assert unpack.unpack(files, p.withColumn("rec_id", F.lit(1))).filter("field = 'mentioned_tags'").count() == 2
+    assert unpack.unpack(files.limit(0), p.limit(0)).count() == 0
+    assert units.converted(units.common_units(spark, r, p, lists.limit(0), items.limit(0)), items.limit(0)).count() == 0
