@@ -25,8 +25,23 @@ def local_session(cpus: int | str = "*", app: str = "tagloom") -> SparkSession:
     return spark
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let the Python workers of this session find the package where the driver has it, if it isn't installed.
+
+    On a cluster whose machines don't share that folder the package is given with --py-files.
+    """
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, known)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
+    reachable(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
