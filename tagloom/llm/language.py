@@ -60,7 +60,7 @@ class Svm:
     def __init__(self, first: str, second: str):
         self.first, self.second, self.weights, self.slope = first, second, np.zeros(DIM, "float32"), 4.0
 
-    def fit(self, rows: list[list[int]], signs: np.ndarray, rounds: int = 4, strength: float = 1e-4) -> Svm:
+    def fit(self, rows: list[list[int]], signs: np.ndarray, rounds: int = 4, strength: float = 5e-3) -> Svm:
         rng = np.random.default_rng(5)
         w, mean, t = np.zeros(DIM), np.zeros(DIM), 1
         scale = 1.0
@@ -70,7 +70,7 @@ class Svm:
             for i in rng.permutation(len(rows)):
                 x, y = rows[i], float(signs[i])
                 unit = 1.0 / np.sqrt(len(x))
-                step = 1.0 / (strength * (t + 1e5))
+                step = 1.0 / (strength * (t + 1e3))
                 margin = y * scale * w[x].sum() * unit
                 scale *= 1.0 - step * strength
                 if margin < 1:
@@ -227,10 +227,11 @@ def _duel(a: str, b: str, pdf: pd.DataFrame) -> Svm:
     y = np.where(rows.lang == a, 1.0, -1.0)
     svm = Svm(a, b)
     if len(x) and abs(y.sum()) < len(y):
-        svm.fit(x, y, 2)
+        rounds = max(2, -(-30_000 // len(x)))
+        svm.fit(x, y, min(rounds, 10))
         margin = np.array([svm.margin(i) for i in x])
-        keep = np.flatnonzero(y * margin > -0.3)
-        svm.fit([x[i] for i in keep], y[keep])
+        keep = np.flatnonzero(y * margin > 0)
+        svm.fit([x[i] for i in keep], y[keep], min(2 * rounds, 20))
         svm.slope = _slope(np.array([svm.margin(x[i]) for i in keep]), y[keep])
     return svm
 
