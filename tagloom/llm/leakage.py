@@ -57,8 +57,8 @@ class Items:
     """The held-out items with an index of their q-grams.
 
     A passage of n words with e errors keeps n - e words in at most e + 1 exact runs, so by the q-gram lemma it shares
-    at least their letters - (e + 1) * (q - 1) q-grams with the item. least is the smallest such count over all
-    passages of min_words up to two errors in the items; longer ones hold more. The runs of such a passage lie on
+    at least their letters - (e + 1) * (q - 1) q-grams with the item. bound is the smallest such count over the
+    passages of each item from min_words up to two errors, least the smallest of all; longer passages hold more. The runs of such a passage lie on
     diagonals not further apart than the lengths of two words, thus within one of the bands, which overlap by half.
     """
 
@@ -68,16 +68,14 @@ class Items:
         self.words: list[list[str]] = []
         self.starts: list[np.ndarray] = []
         self.ids = []
-        shortest = 10**6
+        bounds = []
         for item, text in rows:
             words = WORD.findall((text or "").lower())
             if len(words) < min_words:
                 continue
             starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            for n in range(min_words, min(3 * per, len(words) + 1)):
-                for e in range(n // per + 1):
-                    letters = starts[n - e :] - starts[: -(n - e)]
-                    shortest = min(shortest, int(letters.min()) - (e + 1) * (q - 1))
+            kept = [(n - e, e) for n in range(min_words, min(3 * per, len(words) + 1)) for e in range(n // per + 1)]
+            bounds.append(max(1, min(int((starts[k:] - starts[:-k]).min()) - (e + 1) * (q - 1) for k, e in kept)))
             h = _grams(_stream("".join(words)), q)
             hashes.append(h)
             owners.append(np.full(len(h), len(self.ids)))
@@ -85,7 +83,8 @@ class Items:
             self.ids.append(item)
             self.words.append(words)
             self.starts.append(starts)
-        self.least = max(1, shortest)
+        self.bound = np.array(bounds, int)
+        self.least = min(bounds, default=1)
         h = np.concatenate(hashes) if hashes else np.zeros(0, "uint64")
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
@@ -109,14 +108,16 @@ class Items:
         width = 64
         big = np.int64(1) << 40
         own = owner.astype("int64") * big + (at - place) // width + (big >> 1)
-        keys, n = np.unique(np.concatenate([own, own - 1]), return_counts=True)
+        order = np.argsort(own, kind="stable")
+        own, at, place = own[order], at[order], place[order]
+        keys = np.unique(np.concatenate([own, own - 1]))
+        lo, hi = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys + 1, "right")
         found: list[int] = []
-        for k in keys[n >= self.least].tolist():
+        enough = hi - lo >= self.bound[keys // big]
+        for k, a, b in zip(keys[enough].tolist(), lo[enough].tolist(), hi[enough].tolist(), strict=True):
             item = k // int(big)
-            if self.ids[item] not in found:
-                m = (own == k) | (own == k + 1)
-                if self._verify(words, starts, item, at[m], at[m] - place[m]):
-                    found.append(self.ids[item])
+            if self.ids[item] not in found and self._verify(words, starts, item, at[a:b], at[a:b] - place[a:b]):
+                found.append(self.ids[item])
         return found
 
     def _verify(self, words: list[str], starts: np.ndarray, item: int, a: np.ndarray, diagonal: np.ndarray) -> bool:
