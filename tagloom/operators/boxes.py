@@ -13,6 +13,11 @@ FRAME_SHARE, FRAME_RATIO, FRAME_OVERLAP = (0.40, 0.55), 1.2, 0.05
 # --------------------------------------------------------------------------------------------------
 
 
+def large_enough(boxes: DataFrame, least: int = 10) -> DataFrame:
+    """Boxes with both sides of least pixels or more."""
+    return boxes.filter((F.col("x2") - F.col("x1") >= least) & (F.col("y2") - F.col("y1") >= least))
+
+
 def words_in(words: DataFrame, rect: tuple[int, int, int, int], keys: list[str]) -> DataFrame:
     """(keys, text): the words wholly inside the rectangle, joined in their order."""
     x1, y1, x2, y2 = rect

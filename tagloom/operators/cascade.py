@@ -141,6 +141,17 @@ def solve(tasks: DataFrame, strategies: list[tuple[str, float, DataFrame]], extr
     return done
 
 
+def attempts(tasks: DataFrame, strategies: list[tuple[str, float, DataFrame]], extractor: Extractor) -> DataFrame:
+    """(row_id, strategy, confidence, prompt, reply, valid): what every strategy asked and got, for audits; takes what solve takes."""
+    out = None
+    for name, confidence, contexts in strategies:
+        asked = tasks.join(contexts.groupBy("row_id").agg(F.min("context").alias("context")), "row_id").withColumn("prompt", prompt(F.col("name"), F.col("context"), F.col("values"), F.col("hint")))
+        got = extract(asked.select("row_id", "possible", "prompt"), extractor)
+        row = got.select("row_id", F.lit(name).alias("strategy"), F.lit(confidence).alias("confidence"), "prompt", "reply", is_valid(parse_reply(F.col("reply"))["value"], F.col("possible")).alias("valid"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def fill(register: DataFrame, answers: DataFrame) -> DataFrame:
     """The register with the answers written into value and unit; rows without one keep theirs."""
     a = answers.select("row_id", F.col("value").alias("__v"), F.col("uom").alias("__u"))

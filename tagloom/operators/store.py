@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, id_: str, columns: list[str]) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str, id_: str, columns: list[str], stamp: str | None = None) -> DataFrame:
     """The table after new rows replaced old ones of the same key and the rest was added with ids that go on from the largest.
 
-    One full outer join on the key; of several new rows with one key the last in order of the columns wins. New ids are
+    With stamp, a column of old, rows that are new or replaced get the current time in it. One full outer join on the
+    key; of several new rows with one key the last in order of the columns wins. New ids are
     given in order of the key.
     """
     w = Window.partitionBy(key).orderBy(*(F.col(c).desc_nulls_last() for c in columns))
     fresh = new.filter(F.col(key).isNotNull()).select(key, *(F.col(c).alias(f"__{c}") for c in columns), F.row_number().over(w).alias("__n")).filter("__n = 1").drop("__n").withColumn("__new", F.lit(True))
-    both = old.select(id_, key, *columns).join(fresh, key, "full_outer")
+    both = old.select(id_, key, *columns, *([stamp] if stamp else [])).join(fresh, key, "full_outer")
     top = old.agg(F.coalesce(F.max(id_), F.lit(0))).first()[0]
     taken = F.coalesce("__new", F.lit(False))
     kept = both.filter(F.col(id_).isNotNull())
     numbers = _numbered(fresh.join(old.select(key), key, "left_anti").select(key), key)
     added = both.filter(F.col(id_).isNull()).join(numbers, key).withColumn(id_, F.col("__r") + F.lit(top))
-    out = lambda d: d.select(F.col(id_), key, *(F.when(taken, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in columns))
+    stamped = [F.when(taken, F.current_timestamp().cast(old.schema[stamp].dataType)).otherwise(F.col(stamp)).alias(stamp)] if stamp else []
+    out = lambda d: d.select(F.col(id_), key, *(F.when(taken, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in columns), *stamped)
     return out(kept).unionByName(out(added))
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import tag_key
-from tagloom.operators import boxes, cascade, search, slicing, store, tagfix
+from tagloom.operators import boxes, cascade, contexts, search, slicing, store, tagfix
 from tagloom.operators.resolve import registry
 from tagloom.session import table
 from tagloom.sources import files as sources
+from tagloom.sources import schemas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -552,3 +553,62 @@ def dump_page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = header_parse(spark, sf_dir).join(table(spark, sf_dir, "files").select("file_id", "pure_text"), "file_id")
     rest = F.substring(F.col("pure_text"), F.col("pos").cast("int") + 1, F.length("pure_text"))
     return h.select("file_id", "ord", F.nullif(F.regexp_extract(rest, r"EOP(\d+)", 1), F.lit("")).cast("long").alias("page"))
+
+
+# ---- rules of the tables, contexts -----------------------------------------------------------------------
+
+
+@query("SELECT file_id, unnest(['pages_positive']) AS rule FROM (SELECT file_id, pages - 3 AS pages FROM files) WHERE pages <= 0 UNION ALL SELECT file_id, 'text_given' FROM files WHERE pure_text IS NULL")
+def table_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.violations(table(spark, sf_dir, "files").withColumn("pages", F.col("pages") - 3), "files", "file_id")
+
+
+@query("SELECT tag_number, count(*) AS n FROM register WHERE tag_number IS NOT NULL GROUP BY tag_number HAVING count(*) > 1")
+def table_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.repeated(table(spark, sf_dir, "register"), "tag_number")
+
+
+NAMED = " OR ".join(f"contains(lower(heading), '{s}')" for s in contexts.TECHNICAL)
+
+
+@query(f'WITH h AS ({HEADS}), s AS (SELECT file_id, heading, pos AS start, lead(pos) OVER (PARTITION BY file_id ORDER BY pos, ord) AS "end" FROM h), g AS (SELECT file_id, min(start) AS start, arg_min("end", start) AS "end" FROM s WHERE "end" IS NOT NULL AND ({NAMED}) AND ("end" - start >= 1024 OR EXISTS (SELECT 1 FROM h t WHERE t.file_id = s.file_id AND t.ord % 2 = 1 AND t.pos >= s.start AND t.pos < s.start + 1024)) GROUP BY file_id) SELECT file_id, start, "end" FROM g WHERE "end" - start <= 15000')
+def technical_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts.technical_sections(header_parse(spark, sf_dir), _tables(spark, sf_dir).filter("table_idx % 2 = 1"))
+
+
+def _nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    both = F.array(F.col("n_name"), F.col("n_regionkey").cast("string"))
+    return n.select((F.col("n_nationkey") % 4).cast("long").alias("table_id"), F.col("n_nationkey").cast("long").alias("row_idx"), F.posexplode(both).alias("col_idx", "value"))
+
+
+@query("SELECT n_nationkey % 4 AS table_id, '<table>' || string_agg('<tr><td>' || n_name || '</td><td>' || n_regionkey || '</td></tr>', '' ORDER BY n_nationkey) || '</table>' AS text FROM nation GROUP BY 1")
+def table_repr_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts.table_text(_nation_cells(spark, sf_dir))
+
+
+@query("SELECT n_nationkey % 4 AS table_id, '[' || string_agg('[\"' || n_name || '\",\"' || n_regionkey || '\"]', ',' ORDER BY n_nationkey) || ']' AS text FROM nation GROUP BY 1")
+def table_repr_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts.table_text(_nation_cells(spark, sf_dir), "json")
+
+
+@query(f"SELECT coalesce(s.file_id, t.file_id) AS file_id, concat_ws(chr(10), 'Отрывки:' || chr(10) || s.x, 'Таблицы:' || chr(10) || t.x) AS context FROM (SELECT file_id, string_agg(heading, chr(10) ORDER BY ord) AS x FROM ({HEADS}) WHERE ord < 3 GROUP BY file_id) s FULL JOIN (SELECT file_id, string_agg(heading, chr(10) ORDER BY ord) AS x FROM ({HEADS}) WHERE ord >= 2 GROUP BY file_id) t ON s.file_id = t.file_id")
+def context_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = header_parse(spark, sf_dir).select("file_id", "ord", F.col("heading").alias("text"))
+    return contexts.frames(h.filter("ord < 3"), h.filter("ord >= 2"), "file_id")
+
+
+@query("SELECT file_id, c AS chunk_no, c * 1000 AS start, least(1000, n - c * 1000) AS chars FROM (SELECT file_id, length(pure_text) AS n, unnest(range(0, (length(pure_text) + 999) // 1000)) AS c FROM files)")
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts.chunks(table(spark, sf_dir, "files"), "file_id", "pure_text", 1000)
+
+
+@query("SELECT file_id, file_name, pages IS NOT NULL AS paged FROM files WHERE pages BETWEEN 2 AND 5 AND length(pure_text) >= 500")
+def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "files").filter(F.col("pages").between(2, 5) & (F.length("pure_text") >= 500))
+    return f.select("file_id", "file_name", F.col("pages").isNotNull().alias("paged"))
+
+
+@query(f"WITH b AS ({NESTED}) SELECT doc_id, box_id FROM b WHERE x2 - x1 >= 60 AND y2 - y1 >= 60")
+def box_min_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.large_enough(_nested(spark, sf_dir), 60).select("doc_id", "box_id")

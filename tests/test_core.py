@@ -210,6 +210,8 @@ def test_upsert(spark):
     new = spark.createDataFrame([("b", 5), ("b", 7), ("d", 1), ("c", 1), (None, 3)], "k string, v int")
     assert sorted(map(tuple, store.upsert(old, new, "k", "id", ["v"]).collect())) == [(1, "a", 1), (2, "b", 7), (3, "c", 1), (4, "d", 1)]
     assert tuple(store.upsert_counts(old, new, "k").first()) == (2, 1)
+    stamped = store.upsert(old.withColumn("at", F.lit(AT)), new, "k", "id", ["v"], "at").collect()
+    assert {r["k"]: r["at"] == AT for r in stamped} == {"a": True, "b": False, "c": False, "d": False}
     assert sorted(map(tuple, store.upsert(old.limit(0), new, "k", "id", ["v"]).collect())) == [(1, "b", 7), (2, "c", 1), (3, "d", 1)]
 
 
@@ -221,6 +223,8 @@ def test_cascade(spark):
     strong = spark.createDataFrame([(1, "Dry mass: 6 kg.")], "row_id long, context string")
     got = cascade.solve(t, [("weak", 0.3, weak), ("strong", 0.8, strong)], cascade.RuleExtractor())
     assert sorted(tuple(r)[:4] for r in got.collect()) == [(1, "6", "kg", "strong"), (2, "7", "mm", "weak")]
+    tried = cascade.attempts(t, [("weak", 0.3, weak), ("strong", 0.8, strong)], cascade.RuleExtractor())
+    assert sorted((r["row_id"], r["strategy"], r["valid"]) for r in tried.collect()) == [(1, "strong", True), (1, "weak", True), (2, "weak", True)]
     b = spark.createDataFrame([(1, "x" * 9999), (2, "x" * 10000), (3, "x" * 100001), (4, None)], "k long, t string")
     assert sorted(tuple(r) for r in cascade.batches(b, "k", "t").collect()) == [(1, 0, 0, 9999), (2, 0, 0, 10000)]
 
