@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,18 @@ def local_session(cpus: int | str = "*", app: str = "tagloom") -> SparkSession:
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the session's checkpoint folder, so that later uses don't compute it again.
+
+    The folder is the one the session names in spark.checkpoint.dir, which all executors share; only where none is
+    named, as in tests on one machine, a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tagloom-"))
+    return df.checkpoint()
+
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
