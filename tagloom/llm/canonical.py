@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.quantity import UNIT_SPELLINGS, unit_key
 from tagloom.functions.text import INVISIBLE, is_missing, latin_looks, squeeze
 from tagloom.operators.resolve import with_property
-from tagloom.session import broadcast_if_small
+from tagloom.session import broadcast_if_small, cut
 
 # --- fixed values: names by which the items are also known -----------------------------------------
 KNOWN_AS = {
@@ -138,10 +138,10 @@ def entries(register: DataFrame, properties: DataFrame, validations: DataFrame)
 def to_items(spark: SparkSession, found: DataFrame, allowed: DataFrame) -> DataFrame:
     """found (list_name, entry, any other columns) with item_id, or -1 where the entry stands for no item of its list.
 
-    Each distinct entry is matched once; the most similar form wins, ties by the smaller item_id. Units shorter than
+    Each distinct entry is matched once, from a checkpoint, so the register is read for them only once; the most similar form wins, ties by the smaller item_id. Units shorter than
     SHORT_UNIT characters must match a known spelling, longer ones be similar by LEAST_UNIT, other entries by LEAST.
     """
-    distinct = found.select("list_name", "entry").distinct().withColumn("key", entry_key(F.col("entry"), F.col("list_name")))
+    distinct = cut(found.select("list_name", "entry").distinct().withColumn("key", entry_key(F.col("entry"), F.col("list_name"))))
     probes = distinct.filter("key != ''").select(F.col("list_name").alias("block"), "key").distinct().withColumn("tokens", tokens(F.col("key")))
     forms = reference_forms(spark, allowed)
     refs = forms.select(F.col("list_name").alias("block"), "key", tokens(F.col("key")).alias("tokens"))
