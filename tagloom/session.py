@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the session's checkpoint folder, so that later uses don't compute it again.
 
     The folder is the one the session names in spark.checkpoint.dir, which all executors share; only where none is
-    named, as in tests on one machine, a temporary one is made.
+    named and everything runs on one machine, as in tests, a temporary one is made. A cluster without one is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tagloom-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tagloom-"))
     return df.checkpoint()
 
 
