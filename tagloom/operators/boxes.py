@@ -106,15 +106,14 @@ def keep_first(rows: list[tuple]) -> list[int]:
 
 
 def dedupe(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, box_id) of the boxes kept when each page's boxes are taken by depth; greedy, so it runs page by page."""
-    types = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in keys)
+    """(keys, box_id) of the boxes kept when each page's boxes are taken by depth; greedy, so it runs over each page's boxes in order."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["depth", "box_id"])
-        kept = keep_first(list(pdf[["box_id", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(*pdf[keys].iloc[0].tolist(), k) for k in kept], columns=[*keys, "box_id"])
+    @F.pandas_udf("array<long>")
+    def kept(pages: pd.Series) -> pd.Series:
+        return pd.Series([keep_first([tuple(b[c] for c in ("box_id", "x1", "y1", "x2", "y2")) for b in page]) for page in pages])
 
-    return boxes.groupBy(*keys).applyInPandas(run, f"{types}, box_id long")
+    pages = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("depth", "box_id", "x1", "y1", "x2", "y2"))).alias("boxes"))
+    return pages.select(*keys, F.explode(kept("boxes")).alias("box_id"))
 
 
 def bands(rows: DataFrame, keys: list[str], gap: int, pad: int = PAD) -> DataFrame:

@@ -120,12 +120,13 @@ def tag_slices(texts: DataFrame, key: str, text: str) -> DataFrame:
     """
     spans = next_other(tag_places(texts, key, text), key).join(texts.select(key, F.length(text).alias("length")), key)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((int(p), None if pd.isna(e) else int(e)) for p, e in zip(pdf["pos"], pdf["end"], strict=True))
-        cut = cut_slices(rows, int(pdf["length"].iloc[0]))
-        return pd.DataFrame([(pdf[key].iloc[0], pdf["tag"].iloc[0], i, a, b) for i, (a, b) in enumerate(cut)], columns=[key, "tag", "ord", "start", "end"])
+    @F.pandas_udf("array<struct<start:long,end:long>>")
+    def cut(places: pd.Series, length: pd.Series) -> pd.Series:
+        rows = ([(int(p["pos"]), None if p["end"] is None or pd.isna(p["end"]) else int(p["end"])) for p in ps] for ps in places)
+        return pd.Series([[{"start": a, "end": b} for a, b in cut_slices(sorted(r, key=lambda x: x[0]), int(n))] for r, n in zip(rows, length, strict=True)])
 
-    return spans.groupBy(key, "tag").applyInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, tag string, ord int, start long, end long")
+    gathered = spans.groupBy(key, "tag").agg(F.collect_list(F.struct("pos", "end")).alias("places"), F.first("length").alias("length"))
+    return gathered.select(key, "tag", F.posexplode(cut("places", "length")).alias("ord", "s")).select(key, "tag", "ord", "s.start", "s.end")
 
 
 def anchored(files: DataFrame) -> DataFrame:
