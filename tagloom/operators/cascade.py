@@ -126,27 +126,36 @@ def best_answers(candidates: DataFrame) -> DataFrame:
     return best.select("row_id", "b.*")
 
 
+def _asked(tasks: DataFrame, contexts: DataFrame, extractor: Extractor) -> DataFrame:
+    """(row_id, possible, prompt, place, reply): every different context of every task, asked under the name it was searched by; place orders those of one task."""
+    has = lambda c, other: F.col(c) if c in contexts.columns else other
+    place = F.struct(has("ord", F.lit(0)).alias("ord"), F.col("context"))
+    each = contexts.filter("context is not null").groupBy("row_id", "context").agg(F.min(F.struct(place.alias("place"), has("name", F.lit(None).cast("string")).alias("searched"))).alias("c"))
+    both = tasks.join(each.select("row_id", "context", "c.place", "c.searched"), "row_id")
+    return extract(both.select("row_id", "possible", prompt(F.coalesce("searched", "name"), F.col("context"), F.col("values"), F.col("hint")).alias("prompt"), "place"), extractor)
+
+
 def solve(tasks: DataFrame, strategies: list[tuple[str, float, DataFrame]], extractor: Extractor) -> DataFrame:
     """best_answers after every strategy's contexts were asked, tier by tier: what a surer tier answered isn't asked again.
 
-    tasks has row_id, name, values, hint, possible; each strategy gives (row_id, context).
+    tasks has row_id, name, values, hint, possible; each strategy gives (row_id, context) and may give ord, by which the
+    contexts of a task are asked, and name, under which they are. All of a tier are asked, and the first valid answer is kept.
     """
     done: DataFrame | None = None
     for name, confidence, contexts in sorted(strategies, key=lambda s: (-s[1], s[0])):
         open_ = tasks if done is None else tasks.join(done.select("row_id"), "row_id", "left_anti")
-        asked = open_.join(contexts.groupBy("row_id").agg(F.min("context").alias("context")), "row_id").withColumn("prompt", prompt(F.col("name"), F.col("context"), F.col("values"), F.col("hint")))
-        got = extract(asked.select("row_id", "possible", "prompt"), extractor).withColumn("r", parse_reply(F.col("reply")))
-        found = best_answers(got.select("row_id", "possible", "r.value", "r.uom", F.lit(name).alias("strategy"), F.lit(confidence).alias("confidence")))
+        got = _asked(open_, contexts, extractor).withColumn("r", parse_reply(F.col("reply"))).filter(is_valid(F.col("r.value"), F.col("possible")))
+        first = got.groupBy("row_id").agg(F.min_by(F.struct("possible", "r.value", "r.uom"), "place").alias("f"))
+        found = best_answers(first.select("row_id", "f.possible", "f.value", "f.uom", F.lit(name).alias("strategy"), F.lit(confidence).alias("confidence")))
         done = found if done is None else done.unionByName(found)
     return done
 
 
 def attempts(tasks: DataFrame, strategies: list[tuple[str, float, DataFrame]], extractor: Extractor) -> DataFrame:
-    """(row_id, strategy, confidence, prompt, reply, valid): what every strategy asked and got, for audits; takes what solve takes."""
+    """(row_id, strategy, confidence, prompt, reply, valid): what every strategy asked and got, a row for each context, for audits; takes what solve takes."""
     out = None
     for name, confidence, contexts in strategies:
-        asked = tasks.join(contexts.groupBy("row_id").agg(F.min("context").alias("context")), "row_id").withColumn("prompt", prompt(F.col("name"), F.col("context"), F.col("values"), F.col("hint")))
-        got = extract(asked.select("row_id", "possible", "prompt"), extractor)
+        got = _asked(tasks, contexts, extractor)
         row = got.select("row_id", F.lit(name).alias("strategy"), F.lit(confidence).alias("confidence"), "prompt", "reply", is_valid(parse_reply(F.col("reply"))["value"], F.col("possible")).alias("valid"))
         out = row if out is None else out.unionByName(row)
     return out

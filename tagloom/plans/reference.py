@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import tag_key
+from tagloom.functions.text import name_key, tag_key
 from tagloom.operators import boxes, cascade, contexts, search, slicing, store, tagfix
-from tagloom.operators.resolve import registry
-from tagloom.session import table
+from tagloom.operators.resolve import registry, with_property
+from tagloom.session import cut, table
 from tagloom.sources import files as sources
 from tagloom.sources import schemas
 
@@ -525,16 +525,42 @@ def cascade_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from the lines "name: number" of all pages that name the tag, in the order of files, pages and lines.
+
+    A line belongs to a task if its name is the dictionary's for the property the row means, the typed one, or an
+    alternative keyword, tried in this order within a tier. Rows that ask the same of the same tag are asked once.
+    The lines, the rows of their tags and the answers are checkpointed, as each is read several times.
+    """
     f = table(spark, sf_dir, "files")
     spans = slicing.page_spans(f, "file_id", "pure_text")
-    pages = spans.join(f.select("file_id", "pure_text"), "file_id").select("file_id", F.substring(F.col("pure_text"), F.col("start").cast("int") + 1, F.col("chars")).alias("body"))
-    by_tag = pages.select(F.explode(F.array_distinct(search.tags_in(F.col("body")))).alias("tag"), "body")
-    lines = by_tag.select("tag", F.explode(F.split("body", "\n")).alias("line")).filter(F.col("line").rlike(r"^[^:]{3,60}: -?[0-9]"))
-    found = lines.select(tag_key(F.col("tag")).alias("tag"), F.lower(F.substring_index("line", ":", 1)).alias("name"), "line").groupBy("tag", "name").agg(F.min("line").alias("context"))
-    tasks = table(spark, sf_dir, "register").select("row_id", tag_key(F.col("tag_number")).alias("tag"), F.lower("property_name").alias("en"), F.lower("property_name_rus").alias("ru"))
-    asked = tasks.select("row_id", F.coalesce("en", "ru").alias("name"), F.lit(None).cast("string").alias("values"), F.lit("").alias("hint"), F.lit(None).cast("array<string>").alias("possible"))
-    contexts = lambda c: tasks.join(found, (tasks["tag"] == found["tag"]) & (tasks[c] == found["name"])).select("row_id", "context")
-    return cascade.solve(asked, [("simple_en", 0.6, contexts("en")), ("simple_ru", 0.5, contexts("ru"))], cascade.RuleExtractor())
+    pages = spans.join(f.select("file_id", "pure_text"), "file_id").select("file_id", "page", F.substring(F.col("pure_text"), F.col("start").cast("int") + 1, F.col("chars")).alias("body"))
+    by_tag = pages.select(F.explode(F.array_distinct(search.tags_in(F.col("body")))).alias("tag"), "file_id", "page", "body")
+    lines = by_tag.select("tag", "file_id", "page", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(r"^[^:]{3,60}: -?[0-9]"))
+    written = F.substring_index("line", ":", 1)
+    found = lines.select(tag_key(F.col("tag")).alias("tag"), name_key(written).alias("key"), written.alias("name"), F.col("line").alias("context"), F.struct("file_id", "page", "line_no").alias("at"))
+    found = cut(found.groupBy("tag", "key", "name", "context").agg(F.min("at").alias("at")))
+
+    properties = table(spark, sf_dir, "properties")
+    register = table(spark, sf_dir, "register").withColumn("tag", tag_key(F.col("tag_number"))).join(found.select("tag").distinct(), "tag", "left_semi")
+    register = cut(register.select("row_id", "tag", "property_name", "property_name_rus"))
+    meant = with_property(register, properties, ["row_id"])
+    same = ["tag", "en", "ru", "prop_id"]
+    typed = register.select("row_id", "tag", *(F.coalesce(name_key(F.col(c)), F.lit("")).alias(k) for c, k in (("property_name", "en"), ("property_name_rus", "ru"))))
+    rows = cut(typed.join(meant, "row_id", "left").fillna(-1, ["prop_id"]))
+    questions = rows.groupBy(*same).agg(F.min("row_id").alias("row_id"))
+
+    keyword = F.explode(F.filter(F.transform(F.split("alt_keywords", ";"), lambda x: F.trim(x)), lambda x: x != ""))
+    keywords = properties.filter("alt_keywords != 'none'").select("prop_id", keyword.alias("k")).select("prop_id", F.when(F.lower("k").rlike("[а-яё]"), "ru").otherwise("en").alias("tier"), name_key(F.col("k")).alias("key"))
+    in_dictionary = F.explode(F.array(F.struct(F.lit("en").alias("tier"), name_key(F.col("prop_name_eng")).alias("key")), F.struct(F.lit("ru").alias("tier"), name_key(F.col("prop_name_rus")).alias("key"))))
+    known = properties.select("prop_id", in_dictionary.alias("n")).select("prop_id", "n.tier", "n.key").filter("key != 'none'").withColumn("rank", F.lit(0)).unionByName(keywords.withColumn("rank", F.lit(2)))
+    as_typed = questions.select("row_id", "tag", F.explode(F.array(*(F.struct(F.lit(k).alias("tier"), F.col(k).alias("key"), F.lit(1).alias("rank")) for k in ("en", "ru")))).alias("n")).select("row_id", "tag", "n.*")
+    names = questions.select("row_id", "tag", "prop_id").join(known, "prop_id").drop("prop_id").unionByName(as_typed).filter("key != ''")
+
+    asked = questions.select("row_id", F.when(F.col("en") != "", F.col("en")).otherwise(F.col("ru")).alias("name"), F.lit(None).cast("string").alias("values"), F.lit("").alias("hint"), F.lit(None).cast("array<string>").alias("possible"))
+    lines_of = cut(names.join(found, ["tag", "key"]).select("row_id", "tier", "context", "name", F.struct("rank", "at").alias("ord")))
+    contexts = lambda t: lines_of.filter(F.col("tier") == t).drop("tier")
+    answers = cut(cascade.solve(asked, [("simple_en", 0.6, contexts("en")), ("simple_ru", 0.5, contexts("ru"))], cascade.RuleExtractor()))
+    return rows.join(questions.join(answers, "row_id").drop("row_id"), same).drop(*same)
 
 
 @query()

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tagloom.operators import cascade
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -20,3 +21,25 @@ def test_tasks_by_tag_keeps_hot_tags(spark, tmp_path):
     want = duckdb.sql(f"WITH register AS (FROM '{tmp_path}/register.parquet/*.parquet') SELECT {', '.join(cols)} FROM ({sql})").fetchall()
     got = _rows(QUERIES["tasks_by_tag"](spark, str(tmp_path)), cols)
     assert got == sorted(want, key=repr) and max(x[1] for x in got) == 10_000
+
+
+def test_solve_asks_all_contexts(spark):
+    t = spark.createDataFrame([(1, "length", None, "", None), (2, "length", None, "", None)], "row_id long, name string, values string, hint string, possible array<string>")
+    c = spark.createDataFrame([(1, "a length, not given", 1), (1, "length: 7 mm", 3), (1, "b length: 8 mm", 2), (2, "длина: 9 мм", 1)], "row_id long, context string, ord int")
+    s = [("simple_en", 0.6, c.filter("row_id = 1")), ("simple_ru", 0.5, c.filter("row_id = 2").withColumn("name", F.lit("длина")))]
+    assert sorted(tuple(r)[:4] for r in cascade.solve(t, s, cascade.RuleExtractor()).collect()) == [(1, "8", "mm", "simple_en"), (2, "9", "мм", "simple_ru")]
+    assert cascade.attempts(t, s, cascade.RuleExtractor()).count() == 4
+
+
+def test_register_fill_reads_later_lines_and_typed_names(spark, tmp_path):
+    mark = "[!@#$%]EOP{}[!@#$%]"
+    text = "A-1\nDry mass: 1e\n" + mark.format(1) + "A-1\nпредел: 4 бар\nweight: 3 kg\n" + mark.format(2) + "A-2\ndry mass: 6 kg\nDry mass: 5 kg\n" + mark.format(3)
+    kinds = "prop_id long, prop_name_eng string, prop_name_rus string, alt_keywords string"
+    spark.createDataFrame([(1, text)], "file_id long, pure_text string").write.parquet(str(tmp_path / "files.parquet"))
+    spark.createDataFrame([(1, "dry mass", "сухая масса", "none"), (2, "total limit", "предел", "none"), (3, "gross load", "груз", "other;weight")], kinds).write.parquet(str(tmp_path / "properties.parquet"))
+    rows = [(1, "A-2", "dry_mas", None), (2, "A-1", "total limit", "предел"), (3, "A-1", "gross load", None), (4, "A-2", "Dry mass", None), (5, "A-2", "dry_mas", None), (6, None, "dry mass", None), (7, "A-2", "gross load", None)]
+    reg = spark.createDataFrame(rows, "row_id long, tag_number string, property_name string, property_name_rus string")
+    reg.withColumn("property_value", F.lit("old")).withColumn("uom", F.lit("x")).write.parquet(str(tmp_path / "register.parquet"))
+    got = _rows(QUERIES["register_fill"](spark, str(tmp_path)), ["row_id", "property_value", "uom"])
+    assert got == [(1, "6", "kg"), (2, "4", "бар"), (3, "3", "kg"), (4, "6", "kg"), (5, "6", "kg"), (6, "old", "x"), (7, "old", "x")]
+    assert _rows(QUERIES["run_summary"](spark, str(tmp_path)), ["tasks", "solved", "failed"]) == [(7, 5, 2)]
