@@ -53,6 +53,28 @@ def edit_distance(a: list[str], b: list[str], band: int) -> int:
     return min(row.get(len(b), band + 1), band + 1)
 
 
+def reaches(a: list[str], b: list[str], most: int) -> list[int]:
+    """For 0 to most errors, how many words of a at its beginning, the last one kept, go with the beginning of b; by the furthest place on each diagonal."""
+
+    def slide(i: int, d: int) -> int:
+        while i < len(a) and i + d < len(b) and a[i] == b[i + d]:
+            i += 1
+        return i
+
+    row = {0: slide(0, 0)}
+    out = [row[0]]
+    for e in range(1, most + 1):
+        new, best = {}, out[-1]
+        for d in range(-e, e + 1):
+            begin = min(max(row.get(d, -9) + 1, row.get(d - 1, -9), row.get(d + 1, -9) + 1), len(a), len(b) - d)
+            if begin >= max(0, -d):
+                new[d] = slide(begin, d)
+                best = max(best, new[d]) if new[d] > begin else best
+        out.append(best)
+        row = new
+    return out
+
+
 class Items:
     """The held-out items with an index of their q-grams.
 
@@ -121,7 +143,7 @@ class Items:
         return found
 
     def _verify(self, words: list[str], starts: np.ndarray, item: int, a: np.ndarray, diagonal: np.ndarray) -> bool:
-        """Chain the exact runs in order and count the errors between them by banded alignment."""
+        """Extend each exact run to both sides by as many words as each number of errors allows; a passage begins and ends with kept words."""
         order = np.lexsort((a, diagonal))
         a, diagonal = a[order], diagonal[order]
         cut = np.flatnonzero((np.diff(diagonal) != 0) | (np.diff(a) > 1)) + 1
@@ -135,25 +157,16 @@ class Items:
         runs.sort()
         if any(i1 - i0 >= self.min_words for i0, i1, _, _ in runs):
             return True
-        end = max((r[1] for r in runs), default=0)
-        for first in range(len(runs)):
-            i0, i1, w0, w1 = runs[first]
-            errors, allowed = 0, (end - i0) // self.per
-            if end - i0 < self.min_words:
-                break
-            for j0, j1, v0, v1 in runs[first + 1 :]:
-                if j1 <= i1 or v1 <= w1 or v0 < w0:
-                    continue
-                skip = max(0, i1 - j0, w1 - v0)
-                j0, v0 = j0 + skip, v0 + skip
-                if j0 >= j1:
-                    continue
-                errors += edit_distance(self.words[item][i1:j0], words[w1:v0], allowed - errors)
-                i1, w1 = j1, v1
-                if errors > allowed:
-                    break
-                if i1 - i0 >= self.min_words and errors <= (i1 - i0) // self.per:
-                    return True
+        own = self.words[item]
+        most = len(own) // self.per
+        for i0, i1, w0, w1 in runs:
+            left = reaches(own[:i0][::-1], words[max(0, w0 - i0 - most) : w0][::-1], most)
+            right = reaches(own[i1:], words[w1 : w1 + len(own) - i1 + most], most)
+            for x in range(most + 1):
+                for y in range(most + 1 - x):
+                    n = left[x] + i1 - i0 + right[y]
+                    if n >= self.min_words and x + y <= n // self.per:
+                        return True
         return False
 
 

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tagloom.llm import leakage
 from tagloom.operators import cascade
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -43,3 +44,15 @@ def test_register_fill_reads_later_lines_and_typed_names(spark, tmp_path):
     got = _rows(QUERIES["register_fill"](spark, str(tmp_path)), ["row_id", "property_value", "uom"])
     assert got == [(1, "6", "kg"), (2, "4", "бар"), (3, "3", "kg"), (4, "6", "kg"), (5, "6", "kg"), (6, "old", "x"), (7, "old", "x")]
     assert _rows(QUERIES["run_summary"](spark, str(tmp_path)), ["tasks", "solved", "failed"]) == [(7, 5, 2)]
+
+
+def _leaked(item, doc):
+    items = leakage.Items([(1, " ".join(item))])
+    return items.leaked(doc, *items.hits(leakage._stream("".join(doc))))
+
+
+def test_leaks_with_an_error_near_an_end():
+    item = "pump casing shall withstand pressure during every hydraulic test without leak ab".split()
+    for k in range(1, 11):
+        assert _leaked(item, [*item[:k], "zzz", *item[k + 1 :]]) == [1], k
+    assert _leaked(item, ["zzz", *item[1:]]) == [] and _leaked(item, [*item[:4], "zzz", *item[5:9], "yyy", *item[10:]]) == []
