@@ -79,7 +79,7 @@ class Items:
     """The held-out items with an index of their q-grams.
 
     A passage of n words with e errors keeps n - e words in at most e + 1 exact runs, so by the q-gram lemma it shares
-    at least their letters - (e + 1) * (q - 1) q-grams with the item. bound is the smallest such count over the
+    at least their letters - (e + 1) * (q - 1) q-grams with the item; the words lost may be the e longest. bound is the smallest such count over the
     passages of each item from min_words up to two errors, least the smallest of all; longer passages hold more. The runs of such a passage lie on
     diagonals not further apart than the lengths of two words, thus within one of the bands, which overlap by half.
     """
@@ -96,8 +96,12 @@ class Items:
             if len(words) < min_words:
                 continue
             starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            kept = [(n - e, e) for n in range(min_words, min(3 * per, len(words) + 1)) for e in range(n // per + 1)]
-            bounds.append(max(1, min(int((starts[k:] - starts[:-k]).min()) - (e + 1) * (q - 1) for k, e in kept)))
+            sizes = np.diff(starts)
+            least = []
+            for n in range(min_words, min(3 * per, len(words) + 1)):
+                longest = np.sort(np.lib.stride_tricks.sliding_window_view(sizes, n), axis=1)
+                least += [int(longest[:, : n - e].sum(axis=1).min()) - (e + 1) * (q - 1) for e in range(n // per + 1)]
+            bounds.append(max(1, min(least)))
             h = _grams(_stream("".join(words)), q)
             hashes.append(h)
             owners.append(np.full(len(h), len(self.ids)))

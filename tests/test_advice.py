@@ -56,3 +56,8 @@ def test_leaks_with_an_error_near_an_end():
     for k in range(1, 11):
         assert _leaked(item, [*item[:k], "zzz", *item[k + 1 :]]) == [1], k
     assert _leaked(item, ["zzz", *item[1:]]) == [] and _leaked(item, [*item[:4], "zzz", *item[5:9], "yyy", *item[10:]]) == []
+
+
+def test_leaks_with_a_long_word_replaced():
+    item = "to be in an old of electroencephalographically is at by so measured".split()
+    assert _leaked(item, [*item[:6], "zzz", *item[7:]]) == [1]
