@@ -524,6 +524,18 @@ def cascade_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.best_answers(c).select("row_id", "value", "strategy", "confidence")
 
 
+WAYS = [("table_en", "property_value"), ("simple_en", "uom"), ("tokens_en", "property_description_rus")]
+EVERY = " UNION ALL ".join(f"SELECT row_id, {c} AS value, {n!r} AS strategy, {cascade.CONFIDENCE[n]} AS confidence FROM register" for n, c in WAYS)
+
+
+@query(f"SELECT row_id, value, strategy, CAST(confidence AS DOUBLE) AS confidence FROM ({EVERY}) WHERE value IS NOT NULL AND value NOT IN ({NO}) AND NOT starts_with(value, 'NOANS') AND NOT ends_with(value, 'NOANS') AND NOT starts_with(value, '```') QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY confidence DESC, strategy DESC) = 1")
+def cascade_best_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cascade_best over every register row, with its value, unit and description as three strategies."""
+    each = F.explode(F.array(*(F.struct(F.col(c).alias("value"), F.lit(n).alias("strategy"), F.lit(cascade.CONFIDENCE[n]).alias("confidence")) for n, c in WAYS)))
+    c = table(spark, sf_dir, "register").select("row_id", each.alias("c")).select("row_id", "c.*")
+    return cascade.best_answers(c.withColumn("possible", F.lit(None).cast("array<string>")).withColumn("uom", F.lit(""))).select("row_id", "value", "strategy", "confidence")
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers from the lines "name: number" of all pages that name the tag, in the order of files, pages and lines.
 

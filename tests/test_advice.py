@@ -61,3 +61,9 @@ def test_leaks_with_an_error_near_an_end():
 def test_leaks_with_a_long_word_replaced():
     item = "to be in an old of electroencephalographically is at by so measured".split()
     assert _leaked(item, [*item[:6], "zzz", *item[7:]]) == [1]
+
+
+def test_cascade_best_all_answers_every_row(spark, tmp_path):
+    r = spark.range(3_000).select(F.col("id").alias("row_id"), F.lit("N/A").alias("property_value"), F.lit("kg").alias("uom"), F.lit("mass").alias("property_description_rus"))
+    r.write.parquet(str(tmp_path / "register.parquet"))
+    assert QUERIES["cascade_best_all"](spark, str(tmp_path)).filter("value = 'kg'").count() == 3_000
