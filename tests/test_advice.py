@@ -4,7 +4,6 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tagloom.llm import leakage
 from tagloom.operators import cascade
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -46,23 +45,6 @@ def test_register_fill_reads_later_lines_and_typed_names(spark, tmp_path):
     assert _rows(QUERIES["run_summary"](spark, str(tmp_path)), ["tasks", "solved", "failed"]) == [(7, 5, 2)]
 
 
-def _leaked(item, doc):
-    items = leakage.Items([(1, " ".join(item))])
-    return items.leaked(doc, *items.hits(leakage._stream("".join(doc))))
-
-
-def test_leaks_with_an_error_near_an_end():
-    item = "pump casing shall withstand pressure during every hydraulic test without leak ab".split()
-    for k in range(1, 11):
-        assert _leaked(item, [*item[:k], "zzz", *item[k + 1 :]]) == [1], k
-    assert _leaked(item, ["zzz", *item[1:]]) == [] and _leaked(item, [*item[:4], "zzz", *item[5:9], "yyy", *item[10:]]) == []
-
-
-def test_leaks_with_a_long_word_replaced():
-    item = "to be in an old of electroencephalographically is at by so measured".split()
-    assert _leaked(item, [*item[:6], "zzz", *item[7:]]) == [1]
-
-
 def test_cascade_best_all_answers_every_row(spark, tmp_path):
     r = spark.range(3_000).select(F.col("id").alias("row_id"), F.lit("N/A").alias("property_value"), F.lit("kg").alias("uom"), F.lit("mass").alias("property_description_rus"))
     r.write.parquet(str(tmp_path / "register.parquet"))
