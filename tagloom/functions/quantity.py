@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import is_missing, latin_looks, squeeze
+from tagloom.functions.text import latin_looks, let, missing_text, squeeze
 
 # --- fixed values ---------------------------------------------------------------------------------
 # Signs for "about" and "at most" before a number.
@@ -89,10 +87,11 @@ def unit_key(c: Column) -> Column:
 
 
 def unit_table(spark: SparkSession, allowed: DataFrame) -> DataFrame:
-    """(list_name, unit_key, item_id, item, factor, before): every known spelling of the units that stand in the allowed lists."""
+    """(list_name, unit_key, item_id, item, factor, before): every known spelling of the units that stand in the allowed lists; at most a row a spelling of UNITS and UNIT_SPELLINGS."""
     rows = [(k, u, a, float(f), float(b)) for k, us in UNITS.items() for u, (f, b) in us.items() for a in [u, *UNIT_SPELLINGS[u]]]
     known = spark.createDataFrame(rows, "list_name string, item string, spelling string, factor double, before double")
-    items = allowed.select("list_name", "item", "item_id").groupBy("list_name", "item").agg(F.min("item_id").alias("item_id"))
+    own = F.col("list_name").isin(list(UNITS)) & F.col("item").isin(sorted({u for us in UNITS.values() for u in us}))
+    items = allowed.filter(own).groupBy("list_name", "item").agg(F.min("item_id").alias("item_id"))  # at most one a unit of UNITS
     return (
         known.join(F.broadcast(items), ["list_name", "item"])
         .withColumn("unit_key", unit_key(F.col("spelling")))
@@ -102,14 +101,13 @@ def unit_table(spark: SparkSession, allowed: DataFrame) -> DataFrame:
     )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body with value worked out once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
+def _digit_first(s: Column) -> Column:
+    return F.substring(s, 1, 1).between("0", "9")
 
 
 def as_number(s: Column) -> Column:
     """The double that a text matching NUMBER stands for, else null."""
-    sign = F.when(s.rlike(r"^(?:minus|-)"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    sign = F.when(s.startswith("minus") | s.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     part = lambda t, i: F.regexp_extract(t, r"^(?:(\d+)[ -])?(\d+)/(\d+)$", i).try_cast("double")
     fraction = lambda t: F.coalesce(part(t, 1), F.lit(0.0)) + part(t, 2) / F.nullif(part(t, 3), F.lit(0.0))
 
@@ -118,29 +116,46 @@ def as_number(s: Column) -> Column:
         comma_last = F.instr(F.reverse(bare), ",") < F.instr(F.reverse(bare), ".")
         return F.when(both & comma_last, F.translate(bare, ",.", ".")).when(both, F.translate(bare, ",", "")).otherwise(F.translate(bare, ",", ".")).try_cast("double")
 
-    size = let(F.regexp_replace(s, r"^(?:minus |[+-] ?)", ""), lambda t: F.when(t.contains("/"), fraction(t)).otherwise(let(F.translate(t, " '", ""), plain)))
-    return sign * size
+    bare = F.when(_digit_first(s), s).otherwise(F.regexp_replace(s, r"^(?:minus |[+-] ?)", ""))
+    return sign * let(bare, lambda t: F.when(t.contains("/"), fraction(t)).otherwise(let(F.translate(t, " '", ""), plain)))
+
+
+CUT = "\u0001"  # between the parts of a value that was taken apart
 
 
 def quantity(v: Column) -> Column:
     """struct<low, high, unit>: a number (high is null) or a range in order, and the text after it; low is null where v reads as neither."""
-    t = F.regexp_replace(squeeze(v), "[−–—‒]", "-")
-    t = F.regexp_replace(t, "…", "...")
-    t = F.regexp_replace(t, r"(?<=\d) ?1/(min|s)$", " per $1")
-    t = F.regexp_replace(F.regexp_replace(t, r"per min$", "rpm"), r"per s$", "rev/s")
-    t = F.regexp_replace(t, rf"(?iu)^{QUALIFIERS} ?(?=[\d+\-m])", "")
+    return read_quantity(squeeze(v))
+
+
+def read_quantity(v: Column) -> Column:
+    """quantity of a text that squeeze has gone over. Each pattern takes the value apart in one pass; most values need one pattern."""
     one = rf"^({NUMBER}) ?{REST}$"
     two = rf"^(?:от )?({NUMBER}) ?(?:\.\.\.|-|÷|to|до) ?({NUMBER}) ?{REST}$"
-    number = lambda x: as_number(x)
+    nothing = F.lit(None).cast("struct<low:double,high:double,unit:string>")
+
+    def plain(t: Column) -> Column:
+        t = F.replace(F.translate(t, "−–—‒", "----"), F.lit("…"), F.lit("..."))
+        per = let(F.regexp_replace(t, r"(?<=\d) ?1/(min|s)$", " per $1"), lambda x: F.regexp_replace(F.regexp_replace(x, r"per min$", "rpm"), r"per s$", "rev/s"))
+        t = F.when(t.endswith("min") | t.endswith("s"), per).otherwise(t)
+        return let(t, lambda x: F.when(_digit_first(x), x).otherwise(F.regexp_replace(x, rf"(?iu)^{QUALIFIERS} ?(?=[\d+\-m])", "")))
 
     def single(x: Column) -> Column:
-        return F.struct(number(F.regexp_extract(x, one, 1)).alias("low"), F.lit(None).cast("double").alias("high"), F.regexp_extract(x, one, 2).alias("unit"))
+        return F.struct(as_number(F.substring_index(x, CUT, 1)).alias("low"), F.lit(None).cast("double").alias("high"), F.substring_index(x, CUT, -1).alias("unit"))
 
     def double(x: Column) -> Column:
-        ends = F.array_sort(F.array(number(F.regexp_extract(x, two, 1)), number(F.regexp_extract(x, two, 2))))
-        return let(ends, lambda e: F.struct(F.get(e, 0).alias("low"), F.get(e, 1).alias("high"), F.regexp_extract(x, two, 3).alias("unit")))
+        middle = F.substring_index(F.substring_index(x, CUT, 2), CUT, -1)
+        ends = F.array_sort(F.array(as_number(F.substring_index(x, CUT, 1)), as_number(middle)))
+        return let(ends, lambda e: F.struct(F.get(e, 0).alias("low"), F.get(e, 1).alias("high"), F.substring_index(x, CUT, -1).alias("unit")))
+
+    def ranges(x: Column) -> Column:
+        return let(F.regexp_replace(x, two, f"$1{CUT}$2{CUT}$3"), lambda y: F.when(y.contains(CUT), double(y)).otherwise(nothing))
 
-    return let(t, lambda x: F.when(x.rlike(one), single(x)).when(x.rlike(two), double(x)))
+    def read(x: Column) -> Column:
+        return let(F.regexp_replace(x, one, f"$1{CUT}$2"), lambda y: F.when(y.contains(CUT), single(y)).otherwise(ranges(x)))
+
+    digits = F.translate(v, "0123456789", "") != v
+    return F.when(digits & ~v.contains(CUT), let(plain(v), read)).otherwise(nothing)
 
 
 def base_milli(value: Column, factor: Column, before: Column) -> Column:
@@ -151,6 +166,11 @@ def base_milli(value: Column, factor: Column, before: Column) -> Column:
 
 def full_date(v: Column) -> Column:
     """The date of a full date (year first, day first or with the month's name in English or Russian), else null."""
+    return read_date(squeeze(v))
+
+
+def read_date(v: Column) -> Column:
+    """full_date of a text that squeeze has gone over."""
     ymd = r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})$"
     dmy = r"^(\d{1,2})[-./](\d{1,2})[-./](\d{4})$"
     dmw = r"^(\d{1,2})\.? ([a-zа-я]+),? (\d{4})(?: ?г\.?)?$"
@@ -165,7 +185,7 @@ def full_date(v: Column) -> Column:
             .when(t.rlike(dmw), let(month, lambda m: F.when(m.isNotNull(), F.concat_ws("-", g(dmw, 3), F.lpad(m.cast("string"), 2, "0"), F.lpad(g(dmw, 1), 2, "0")))))
         )
 
-    return let(F.lower(squeeze(v)), made).try_cast("date")
+    return let(F.lower(v), made).try_cast("date")
 
 
 def flag(v: Column) -> Column:
@@ -177,13 +197,14 @@ def flag(v: Column) -> Column:
 def cell(v: Column, kind: Column) -> Column:
     """The text form of a typed cell, null where the value is missing or doesn't read as the kind.
 
-    quantity: low|high|unit; date: yyyy-MM-dd; flag: true or false; anything else: the text itself, trimmed.
+    quantity: low|high|unit; date: yyyy-MM-dd; flag: true or false; anything else: the text itself, trimmed. White
+    space is squeezed once, and only the row's own kind is read.
     """
-    number = let(quantity(v), lambda q: F.when(q["low"].isNotNull(), F.concat_ws("|", q["low"].cast("string"), F.coalesce(q["high"].cast("string"), F.lit("")), q["unit"])))
-    typed = (
-        F.when(kind == "quantity", number)
-        .when(kind == "date", full_date(v).cast("string"))
-        .when(kind == "flag", flag(v).cast("string"))
-        .otherwise(squeeze(v))
-    )
-    return F.when(~is_missing(v), typed)
+    number = lambda t: let(read_quantity(t), lambda q: F.when(q["low"].isNotNull(), F.concat_ws("|", q["low"].cast("string"), F.coalesce(q["high"].cast("string"), F.lit("")), q["unit"])))
+    yes_no = lambda t: F.when(F.lower(t).isin(YES), F.lit("true")).when(F.lower(t).isin(NO), F.lit("false"))
+
+    def typed(t: Column) -> Column:
+        read = F.when(kind == "quantity", number(t)).when(kind == "date", read_date(t).cast("string")).when(kind == "flag", yes_no(t)).otherwise(t)
+        return F.when(~missing_text(t), read)
+
+    return let(squeeze(v), typed)

@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 from tagloom.functions.quantity import cell
 from tagloom.functions.text import tag_key
 from tagloom.operators.resolve import registry, with_property
-from tagloom.session import broadcast_if_small, shuffle_width
+from tagloom.session import shuffle_width
 
 QUANTITY = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("unit", T.StringType())])
 MAX_COLUMNS = 5_000
+FIELD = "\u001f"  # between the numbers of a row, which goes to Python as one text
 
 
 def _quantity(s: str) -> tuple:
@@ -59,15 +60,13 @@ def columns_of(properties: DataFrame) -> list[tuple[int, str, str]]:
 
 def typed_cells(register: DataFrame, properties: DataFrame) -> DataFrame:
     """(tag_key, prop_id, rank, text): the register's rows with a tag, a property and a value that reads as the property's kind."""
-    kinds = broadcast_if_small(properties.select("prop_id", "value_kind").dropDuplicates(["prop_id"]))
+    kinds = properties.select("prop_id", F.coalesce("value_kind", F.lit("text")).alias("kind")).groupBy("prop_id").agg(F.min("kind").alias("kind"))
     reg = register.select("row_id", "tag_number", "property_name", "property_name_rus", "property_value", "entered_at")
-    rows = with_property(reg, properties, ["row_id", "tag_number", "property_value", "entered_at"]).join(kinds, "prop_id")
-    rank = F.struct(F.coalesce(F.unix_micros(F.col("entered_at").cast("timestamp")), F.lit(-(2**62))).alias("at"), F.coalesce("row_id", F.lit(-1)).alias("row"))
-    return (
-        rows.select(tag_key(F.col("tag_number")).alias("tag_key"), "prop_id", rank.alias("rank"), F.explode(F.array_compact(F.array(cell(F.col("property_value"), F.coalesce("value_kind", F.lit("text")))))).alias("text"))
-        .filter("tag_key != ''")
-        .select("tag_key", "prop_id", "rank.at", "rank.row", "text")
-    )
+    rows = with_property(reg, properties, ["row_id", "tag_number", "property_value", "entered_at"], kinds)
+    at = F.coalesce(F.unix_micros(F.col("entered_at").cast("timestamp")), F.lit(-(2**62)))
+    both = F.struct(tag_key(F.col("tag_number")).alias("tag_key"), cell(F.col("property_value"), F.col("kind")).alias("text"))
+    read = rows.select("prop_id", at.alias("at"), F.coalesce("row_id", F.lit(-1)).alias("row"), F.explode(F.array(both)).alias("r"))
+    return read.filter("r.text is not null and r.tag_key != ''").select("r.tag_key", "prop_id", "at", "row", "r.text")
 
 
 def wide_table(spark: SparkSession, register: DataFrame, properties: DataFrame, tags: DataFrame) -> DataFrame:
@@ -90,7 +89,14 @@ def wide_table(spark: SparkSession, register: DataFrame, properties: DataFrame,
                 row[i] = encoder(text)
             yield (key, *row)
 
-    merged = typed_cells(register, properties).rdd.map(lambda r: (r[0], (r[1], ((r[2], r[3]), r[4])))).combineByKey(_start, _add, _merge, shuffle_width(spark))
+    def unpacked(part: Iterator) -> Iterator[tuple]:
+        for (packed,) in part:
+            n, prop, at, row, both = packed.split(FIELD, 4)
+            yield both[: int(n)], (int(prop), ((int(at), int(row)), both[int(n) :]))
+
+    numbers = (c.cast("string") for c in (F.length("tag_key"), F.col("prop_id"), F.col("at"), F.col("row")))
+    packed = typed_cells(register, properties).select(F.concat_ws(FIELD, *numbers, F.concat("tag_key", "text")))
+    merged = packed.rdd.mapPartitions(unpacked, True).combineByKey(_start, _add, _merge, shuffle_width(spark))
     wide = spark.createDataFrame(merged.mapPartitions(encode), schema, verifySchema=False)
     return registry(tags).join(wide, "tag_key", "left").drop("tag_key")
 

@@ -10,7 +10,7 @@ from tagloom.session import table
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = [table(spark, sf_dir, n) for n in ("register", "properties", "validations", "allowed_items")]
-    return units.converted(units.common_units(spark, *t), t[3])
+    return units.converted(units.written_units(spark, *t), t[3])
 
 
 def p2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
