@@ -70,6 +70,7 @@ NOTES = r"(?iu)\s*(?:\((?:std|по тз)\)|,? new|[–-] ?vendor std|[*;.])\s*$"
 LEAST = 0.45
 LEAST_UNIT, SHORT_UNIT = 0.6, 6
 UNIT_LISTS = "uom_"
+MANY_ENTRIES = 200_000
 
 
 def entry_key(entry: Column, list_name: Column) -> Column:
@@ -118,32 +119,40 @@ def similar(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFram
     return pairs.withColumn("shared", shared).withColumn("jaccard", F.col("shared") / (F.col("left_key_n") + F.col("right_key_n") - F.col("shared"))).filter(F.col("jaccard") >= least).select("block", "left_key", "right_key", "jaccard")
 
 
-def reference_forms(spark: SparkSession, allowed: DataFrame) -> DataFrame:
-    """(list_name, item_id, key): every item of every list under its own name and the names it is also known by."""
-    known = spark.createDataFrame([(k, a) for k, v in [*KNOWN_AS.items(), *UNIT_SPELLINGS.items()] for a in v], "item string, form string")
+def known_names(spark: SparkSession) -> DataFrame:
+    """(item, form): the names and unit spellings by which items are also known, the default aliases."""
+    return spark.createDataFrame([(k, a) for k, v in [*KNOWN_AS.items(), *UNIT_SPELLINGS.items()] for a in v], "item string, form string")
+
+
+def reference_forms(allowed: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(list_name, item_id, key): every item of every list under its own name and, with aliases (item, form), the names it is also known by."""
     items = allowed.select("list_name", "item", "item_id").filter("item is not null")
-    forms = items.withColumn("form", F.col("item")).unionByName(items.join(known, "item").select("list_name", "item", "item_id", "form"))
+    forms = items.withColumn("form", F.col("item"))
+    if aliases is not None:
+        forms = forms.unionByName(items.join(aliases.select("item", "form"), "item").select("list_name", "item", "item_id", "form"))
     return forms.groupBy("list_name", entry_key(F.col("form"), F.col("list_name")).alias("key")).agg(F.min("item_id").alias("item_id")).filter("key != ''")
 
 
 def entries(register: DataFrame, properties: DataFrame, validations: DataFrame) -> DataFrame:
     """(row_id, target_col, list_name, entry): the register's entries in columns that a list governs, without missing marks."""
-    lists = broadcast_if_small(validations.select("prop_id", "target_col", "list_name").distinct())
+    lists = validations.groupBy("prop_id", "target_col").agg(F.min("list_name").alias("list_name"))
     keep = ["row_id", "property_value", "uom"]
-    rows = with_property(register.select(*keep, "property_name", "property_name_rus"), properties, keep).join(lists, "prop_id")
+    rows = with_property(register.select(*keep, "property_name", "property_name_rus"), properties, keep, lists)
     entry = F.when(F.col("target_col") == "uom", F.col("uom")).when(F.col("target_col") == "property_value", F.col("property_value"))
-    return rows.select("row_id", "target_col", "list_name", entry.alias("entry")).filter(~is_missing(F.col("entry")))
+    return rows.select("row_id", "target_col", "list_name", F.explode(F.array(entry)).alias("entry")).filter(~is_missing(F.col("entry")))
 
 
-def to_items(spark: SparkSession, found: DataFrame, allowed: DataFrame) -> DataFrame:
+def to_items(found: DataFrame, allowed: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """found (list_name, entry, any other columns) with item_id, or -1 where the entry stands for no item of its list.
 
-    Each distinct entry is matched once, from a checkpoint, so the register is read for them only once; the most similar form wins, ties by the smaller item_id. Units shorter than
-    SHORT_UNIT characters must match a known spelling, longer ones be similar by LEAST_UNIT, other entries by LEAST.
+    Each distinct entry is matched once; the most similar form wins, ties by the smaller item_id. Units shorter than
+    SHORT_UNIT characters must be equal to a form, as two units of one list may differ in a single letter (m, mm, cm;
+    W, kW, MW), so that the nearest form says nothing; longer ones must be similar by LEAST_UNIT, other entries by
+    LEAST. The answers are joined by a broadcast where they were counted to be few.
     """
-    distinct = cut(found.select("list_name", "entry").distinct().withColumn("key", entry_key(F.col("entry"), F.col("list_name"))))
+    distinct = cut(found.select("list_name", "entry").distinct().withColumn("key", F.explode(F.array(entry_key(F.col("entry"), F.col("list_name"))))))
     probes = distinct.filter("key != ''").select(F.col("list_name").alias("block"), "key").distinct().withColumn("tokens", tokens(F.col("key")))
-    forms = reference_forms(spark, allowed)
+    forms = cut(reference_forms(allowed, aliases))
     refs = forms.select(F.col("list_name").alias("block"), "key", tokens(F.col("key")).alias("tokens"))
     pairs = similar(probes, refs)
     unit = F.col("block").startswith(UNIT_LISTS)
@@ -155,15 +164,17 @@ def to_items(spark: SparkSession, found: DataFrame, allowed: DataFrame) -> DataF
         .agg(F.max_by("item_id", F.struct("jaccard", F.col("left_key") == F.col("right_key"), -F.col("item_id"))).alias("item_id"))
     )
     mapping = distinct.join(best, ["list_name", "key"], "left").select("list_name", "entry", F.coalesce("item_id", F.lit(-1)).cast("int").alias("item_id"))
-    return found.join(mapping, ["list_name", "entry"])
+    return found.join(broadcast_if_small(cut(mapping), MANY_ENTRIES), ["list_name", "entry"])
 
 
-def free_entries(spark: SparkSession, register: DataFrame, properties: DataFrame, validations: DataFrame, allowed: DataFrame) -> DataFrame:
+def free_entries(register: DataFrame, properties: DataFrame, validations: DataFrame, allowed: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(row_id, target_col, item_id) of the entries that are not character for character an item of their list.
 
-    Null, blank and missing entries, rows without a known property and properties without a list give no row;
-    repeated rows come out each; an entry that stands for nothing has item_id -1.
+    aliases (item, form) adds other names of items, such as known_names(); without it items are found by similarity
+    to their own names only. Null, blank and missing entries, rows without a known property and properties without a
+    list give no row; repeated rows come out each; an entry that stands for nothing has item_id -1. The entries are
+    cut from their lineage, as they are read for their distinct texts and again for the answers.
     """
     exact = broadcast_if_small(allowed.select("list_name", F.col("item").alias("entry")).distinct())
-    typed = entries(register, properties, validations).join(exact, ["list_name", "entry"], "left_anti")
-    return to_items(spark, typed, allowed).select("row_id", "target_col", "item_id")
+    typed = cut(entries(register, properties, validations).join(exact, ["list_name", "entry"], "left_anti"))
+    return to_items(typed, allowed, aliases).select("row_id", "target_col", "item_id")

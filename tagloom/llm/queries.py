@@ -25,7 +25,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.free_entries(spark, *(table(spark, sf_dir, n) for n in ("register", "properties", "validations", "allowed_items"))).distinct()
+    return canonical.free_entries(*(table(spark, sf_dir, n) for n in ("register", "properties", "validations", "allowed_items")), canonical.known_names(spark))
 
 
 def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, canonical, encoding, glyphs, language, leakage, ocr, pages, queries
+from tagloom.llm import bpe, canonical, encoding, glyphs, language, ocr, pages, queries
 from tests.conftest import SMALL
 
 RANKS = os.path.join(bpe.VOCABULARY, "byte_bpe_50k.tiktoken")
@@ -37,9 +37,13 @@ def test_free_entries(spark, lists):
     entries = ["carbon stele", "Cаrbоn stееl", "steel Carbon", "Carbonsteel", "CS", "Carbon steel (std)", "Stainless stel AISI 304", "316L", "oak timber", "Carbon steel", None, "", "N/A"]
     rows = [(i, "body material", None, e, "x", 0) for i, e in enumerate(entries)] + [(100 + i, "overall length", None, "1", u, 0) for i, u in enumerate(["мм", "MM", "pcs", "mm", None])]
     r = spark.createDataFrame(rows, "row_id long, property_name string, property_name_rus string, property_value string, uom string, item_id int")
-    got = {x["row_id"]: (x["target_col"], x["item_id"]) for x in canonical.free_entries(spark, r, props, valid, allowed).collect()}
+    got = {x["row_id"]: (x["target_col"], x["item_id"]) for x in canonical.free_entries(r, props, valid, allowed, canonical.known_names(spark)).collect()}
     assert {k: v[1] for k, v in got.items()} == {0: 40, 1: 40, 2: 40, 3: 40, 4: 40, 5: 40, 6: 41, 7: 42, 8: -1, 100: 10, 101: 10, 102: -1}
-    assert canonical.free_entries(spark, r.limit(0), props, valid, allowed).count() == 0
+    bare = {x["row_id"]: x["item_id"] for x in canonical.free_entries(r, props, valid, allowed).collect()}
+    assert {k: v for k, v in bare.items() if k < 100} == {0: 40, 1: 40, 2: 40, 3: 40, 4: -1, 5: 40, 6: 41, 7: -1, 8: -1}
+    own = spark.createDataFrame([("Carbon steel", "oak timber")], "item string, form string")
+    assert {x["row_id"]: x["item_id"] for x in canonical.free_entries(r, props, valid, allowed, own).collect()}[8] == 40
+    assert canonical.free_entries(r.limit(0), props, valid, allowed).count() == 0
 
 
 def test_similarity_join_is_exact(spark):
@@ -143,44 +147,6 @@ def test_encode_texts(spark, standard):
     assert got == sorted([(1, standard.encode_ordinary("a b")), (2, []), (3, []), (4, standard.encode_ordinary(long)), (4, standard.encode_ordinary("a b"))])
 
 
-# ---- problem 9
-
-
-def _holds(item: list[str], doc: list[str]) -> bool:
-    """The definition by brute force: some twelve words or more in a row of the item within one word in eight of some words of the document."""
-    for a in range(len(item)):
-        for b in range(a + 12, min(len(item), a + 24) + 1):
-            e = (b - a) // 8
-            for c in range(len(doc)):
-                if doc[c] == item[a]:
-                    for d in range(c + b - a - e, min(len(doc), c + b - a + e) + 1):
-                        if d > c and doc[d - 1] == item[b - 1] and leakage.edit_distance(item[a:b], doc[c:d], e) <= e:
-                            return True
-    return False
-
-
-def test_leaks(spark):
-    rng = np.random.default_rng(11)
-    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(5, 9))) for _ in range(400)]
-    items = [(i, list(rng.choice(vocabulary, 40))) for i in range(6)]
-    docs = []
-    for k in range(60):
-        words = list(rng.choice(vocabulary, 50))
-        src = items[k % 6][1]
-        n = int(rng.choice([6, 8, 14, 18, 24]))
-        cut = src[5 : 5 + n]
-        if k % 3 == 1:
-            cut[n // 2] = "zzzzz"
-        if k % 3 == 2:
-            del cut[n // 2]
-        docs.append((k, words[:20] + cut + words[20:]))
-    d = spark.createDataFrame([(k, "  ".join(w).upper() + ".") for k, w in docs] + [(900, None), (901, ""), (902, " . ")], "doc_id long, text string")
-    i = spark.createDataFrame([(k, ", ".join(w)) for k, w in items] + [(90, None), (91, "too short")], "item_id long, text string")
-    want = {(k, j) for k, w in docs for j, it in items if _holds(it, w)}
-    assert {tuple(r) for r in leakage.leaks(d, i).collect()} == want
-    assert {tuple(r) for r in leakage.leaks(d, i, block=3).collect()} == want and len(want) > 20
-
-
 # ---- problem 10
 
 
