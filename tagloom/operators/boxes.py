@@ -7,9 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------------------------------
-SAME_BOX, WRAPPER_SHARE, PAD, SHRINK = 0.9, 0.85, 3, 12
+DPI = 288
+SAME_BOX, WRAPPER_SHARE, PAD = 0.9, 0.85, 3
+SHRINK = max(2 * PAD, round(0.06 * DPI))  # by how much a drill-down moves every side, a level
 SHADOW = max(2 * PAD, SHRINK // 2)
+HOLD = max(4 * PAD, SHRINK)
+LEAST_FRAME, FRAME_FILLED = 0.25, 1.2
 FRAME_SHARE, FRAME_RATIO, FRAME_OVERLAP = (0.40, 0.55), 1.2, 0.05
+BAND_GAP = int(0.25 * DPI)
 # --------------------------------------------------------------------------------------------------
 
 
@@ -71,34 +76,40 @@ def overlaps(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.filter("iou > 0").select(*keys, F.col("a_box_id").alias("box_a"), F.col("b_box_id").alias("box_b"), "iou")
 
 
-def holds(a: list[Column], b: list[Column], tolerance: int = PAD) -> Column:
+def holds(a: list[Column], b: list[Column], tolerance: int = HOLD) -> Column:
+    """b lies in a, give or take the tolerance at every side."""
     return (a[0] <= b[0] + tolerance) & (a[1] <= b[1] + tolerance) & (a[2] >= b[2] - tolerance) & (a[3] >= b[3] - tolerance)
 
 
-def is_shadow(a: list[Column], b: list[Column]) -> Column:
-    """b is a with every side moved by the shadow's tolerance at most: what a drill-down leaves of the same frame."""
-    out = F.lit(True)
-    for x, y in zip(a, b, strict=True):
-        out = out & (F.abs(x - y) <= SHADOW)
+def is_shadow(a: list[Column], b: list[Column], deeper: Column) -> Column:
+    """b, found deeper levels below a, is what a drill-down leaves of a: every side moved in by SHRINK a level, within SHADOW."""
+    moved = deeper * SHRINK
+    out = deeper > 0
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        out = out & (F.abs((x + moved if i < 2 else x - moved) - y) <= SHADOW)
     return out
 
 
 def without_wrappers(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Boxes but for those that hold a clearly smaller box which is no shadow of them."""
+    """Boxes but for those that hold another, clearly smaller one which is no shadow of them; takes deduplicated boxes."""
     smaller = area(*_of("b")) < WRAPPER_SHARE * area(*_of("a"))
-    wrappers = _pair(boxes, keys).filter(F.col("a_box_id") != F.col("b_box_id")).filter(holds(_of("a"), _of("b")) & smaller & ~is_shadow(_of("a"), _of("b"))).select(*keys, F.col("a_box_id").alias("box_id")).distinct()
+    shadow = is_shadow(_of("a"), _of("b"), F.col("b_depth") - F.col("a_depth"))
+    wrappers = _pair(boxes, keys).filter(F.col("a_box_id") != F.col("b_box_id")).filter(holds(_of("a"), _of("b")) & smaller & ~shadow).select(*keys, F.col("a_box_id").alias("box_id")).distinct()
     return boxes.join(wrappers, [*keys, "box_id"], "left_anti")
 
 
 def keep_first(rows: list[tuple]) -> list[int]:
-    """Ids of (id, x1, y1, x2, y2) kept in order: a box goes if it nearly is one already kept, or its shadow."""
+    """Ids of (id, depth, x1, y1, x2, y2) kept in order: a box goes if it nearly is one already kept, or the shadow of one."""
     kept: list[tuple] = []
     for r in rows:
-        for k in kept:
-            w, h = min(r[3], k[3]) - max(r[1], k[1]), min(r[4], k[4]) - max(r[2], k[2])
+        _, depth, x1, y1, x2, y2 = r
+        for _, d, a1, b1, a2, b2 in kept:
+            w, h = min(x2, a2) - max(x1, a1), min(y2, b2) - max(y1, b1)
             shared = w * h if w > 0 and h > 0 else 0
-            joint = (r[3] - r[1]) * (r[4] - r[2]) + (k[3] - k[1]) * (k[4] - k[2]) - shared
-            if (joint and shared / joint > SAME_BOX) or all(abs(a - b) <= SHADOW for a, b in zip(r[1:], k[1:], strict=True)):
+            joint = (x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - shared
+            m = (depth - d) * SHRINK
+            shadow = depth > d and max(abs(a1 + m - x1), abs(b1 + m - y1), abs(a2 - m - x2), abs(b2 - m - y2)) <= SHADOW
+            if shadow or (joint and shared / joint > SAME_BOX):
                 break
         else:
             kept.append(r)
@@ -110,24 +121,59 @@ def dedupe(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def kept(pages: pd.Series) -> pd.Series:
-        return pd.Series([keep_first([tuple(b[c] for c in ("box_id", "x1", "y1", "x2", "y2")) for b in page]) for page in pages])
+        return pd.Series([keep_first([tuple(b[c] for c in ("box_id", "depth", "x1", "y1", "x2", "y2")) for b in page]) for page in pages])
 
     pages = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("depth", "box_id", "x1", "y1", "x2", "y2"))).alias("boxes"))
     return pages.select(*keys, F.explode(kept("boxes")).alias("box_id"))
 
 
-def bands(rows: DataFrame, keys: list[str], gap: int, pad: int = PAD) -> DataFrame:
-    """(keys, band, top, bottom): runs of active rows with less than gap between them, wider by pad; gaps and islands by window."""
+def table_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The boxes of tables: deduplicated, then without wrappers."""
+    return without_wrappers(boxes.join(dedupe(boxes, keys), [*keys, "box_id"], "left_semi"), keys)
+
+
+def bands(rows: DataFrame, pages: DataFrame, keys: list[str], gap: int = BAND_GAP, pad: int = PAD) -> DataFrame:
+    """(keys, band, top, bottom): the stretches of each page, of height rows, that hold lines; rows has the active y.
+
+    Every active row widens by half of gap to both sides, and what then hangs together is a band, wider by pad within
+    the page; one that reaches the last row ends there. A page of one band or none is one band as a whole. Gaps and
+    islands by window.
+    """
     w = Window.partitionBy(*keys).orderBy("y")
     marked = rows.select(*keys, "y").distinct().withColumn("new", F.coalesce((F.col("y") - F.lag("y").over(w) > gap).cast("int"), F.lit(0)))
-    runs = marked.withColumn("band", F.sum("new").over(w))
-    return runs.groupBy(*keys, "band").agg((F.min("y") - pad).alias("top"), (F.max("y") + pad).alias("bottom"))
+    runs = marked.withColumn("band", F.sum("new").over(w)).groupBy(*keys, "band").agg(F.min("y").alias("first"), F.max("y").alias("last"))
+    n = F.count("*").over(Window.partitionBy(*keys))
+    found = pages.select(*keys, "height").join(runs, keys, "left").withColumn("n", n)
+    end = F.col("last") + gap // 2 + 1
+    bottom = F.when(F.col("n") == 1, F.col("height")).when(end >= F.col("height"), F.col("height")).otherwise(F.least(F.col("height"), end + pad))
+    top = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.greatest(F.lit(0), F.col("first") - (gap - 1) // 2) - pad))
+    return found.select(*keys, F.coalesce("band", F.lit(0)).cast("long").alias("band"), top.cast("long").alias("top"), bottom.cast("long").alias("bottom"))
 
 
 def double_pages(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Pages, as keys, whose only two frames lie side by side and each hold about half of the page (page_w, page_h)."""
-    size = frames.withColumn("share", area(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]) / (F.col("page_w") * F.col("page_h")))
-    s = size.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("share").alias("small"), F.max("share").alias("large"), F.min("x2").alias("left_end"), F.max("x1").alias("right_start"), F.first("page_w").alias("page_w"), F.min("x1").alias("left_start")
-    )
-    return s.filter((F.col("n") == 2) & (F.col("small") >= FRAME_SHARE[0]) & (F.col("large") <= FRAME_SHARE[1]) & (F.col("large") <= FRAME_RATIO * F.col("small")) & (F.col("left_start") < F.col("right_start")) & (F.col("left_end") - F.col("right_start") <= FRAME_OVERLAP * F.col("page_w"))).select(*keys)
+    """Pages, as keys, that hold two pages side by side.
+
+    frames has boxes, page_w, page_h, and may have contour, the area within the frame's outline. Frames of less than
+    LEAST_FRAME of the page, or far from rectangular, don't count; of the rest there must be two, each about half of
+    the page, alike in size, one in each half, hardly overlapping.
+    """
+    size = area(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    whole = F.col("page_w") * F.col("page_h")
+    square = (F.col("contour") >= 1) & (size / F.col("contour") <= FRAME_FILLED) if "contour" in frames.columns else F.lit(True)
+    large = frames.filter((size >= LEAST_FRAME * whole) & square)
+    two = large.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x1", "x2", size.alias("size")))).alias("f"), F.first("page_w").alias("w"), F.first(whole).alias("whole")).filter(F.size("f") == 2)
+    a, b = F.get("f", F.lit(0)), F.get("f", F.lit(1))
+    least, most = F.least(a["size"], b["size"]), F.greatest(a["size"], b["size"])
+    middle = lambda x: (x["x1"] + x["x2"]) / 2
+    half = (least > FRAME_SHARE[0] * F.col("whole")) & (most < FRAME_SHARE[1] * F.col("whole")) & (most / least <= FRAME_RATIO)
+    sides = (middle(a) < F.col("w") * 0.5) & (middle(b) > F.col("w") * 0.5)
+    apart = F.greatest(F.lit(0), a["x2"] - b["x1"]) <= FRAME_OVERLAP * F.least(a["x2"] - a["x1"], b["x2"] - b["x1"])
+    return two.filter(half & sides & apart).select(*keys)
+
+
+def logical_pages(sheets: DataFrame, key: str, doubles: DataFrame) -> DataFrame:
+    """(key, phys_page, sub, logical_page): pages numbered from 0 in order, where a double sheet (key, phys_page in doubles) counts as two."""
+    d = doubles.select(key, "phys_page").distinct().withColumn("two", F.lit(True))
+    each = sheets.select(key, "phys_page").join(d, [key, "phys_page"], "left").select(key, "phys_page", F.explode(F.when(F.col("two"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("sub"))
+    w = Window.partitionBy(key).orderBy("phys_page", "sub")
+    return each.withColumn("logical_page", (F.row_number().over(w) - 1).cast("long"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators.slicing import NEXT_TABLE_WITHIN, no_contents, sections
+from tagloom.functions.text import let
+from tagloom.operators.slicing import NEXT_TABLE_WITHIN, next_within, no_contents, sections
 
 # --- fixed values ---------------------------------------------------------------------------------
 TECHNICAL = [
@@ -14,7 +18,8 @@ TECHNICAL = [
 ]
 LEAST_SECTION, MOST_SECTION = 1024, 15_000
 CHUNK = 100_000
-SNIPPETS, TABLES = "Отрывки:", "Таблицы:"
+SNIPPETS, TABLES, TABLE = "Отрывки:", "Таблицы:", "Таблица:"
+NEXT_HEADING = r"\n\d+(\.\d+)*\.?\s+[A-ZА-Я]{2,}"
 # --------------------------------------------------------------------------------------------------
 
 
@@ -34,23 +39,65 @@ def technical_sections(heads: DataFrame, tables: DataFrame) -> DataFrame:
     return ok.groupBy("file_id").agg(F.min(F.struct("start", "end")).alias("s")).select("file_id", "s.start", "s.end").filter(F.col("end") - F.col("start") <= MOST_SECTION)
 
 
+def text_section(text: Column) -> Column:
+    """struct<start, end> of a technical section that only the text shows: from the last place of the first of the TECHNICAL names that stands in it to the next numbered heading in capitals; null without either.
+
+    Earlier places are taken for entries of a table of contents. This is our reading of what the text route means.
+    """
+    low = F.lower(text)
+    last = lambda s: F.when(low.contains(s), F.length(low) - F.instr(F.reverse(low), F.lit(s[::-1])) - F.lit(len(s)) + 1)
+    start = F.coalesce(*map(last, TECHNICAL))
+    after = F.regexp_instr(F.substr(text, start + 1, F.length(text)), F.lit(NEXT_HEADING))
+    return F.when(after > 0, F.struct(start.cast("long").alias("start"), (start + after).cast("long").alias("end")))
+
+
+def technical_texts(files: DataFrame, heads: DataFrame, tables: DataFrame) -> DataFrame:
+    """(file_id, start, end, text): the section of technical data of each file: by its headings, else by its text; none longer than MOST_SECTION.
+
+    A section of fewer than LEAST_SECTION characters gets the next table within NEXT_TABLE_WITHIN of its start put
+    behind it, as a text. tables has file_id, table_idx, index and cells.
+    """
+    by_head = technical_sections(heads, tables).select("file_id", F.struct("start", "end").alias("h"))
+    at = F.coalesce("h", text_section(F.col("pure_text")))
+    rows = files.select("file_id", "pure_text").join(by_head, "file_id", "left").withColumn("s", F.explode(F.array(at))).filter(F.col("s.end") - F.col("s.start") <= MOST_SECTION)
+    found = rows.select("file_id", "s.start", "s.end", F.substr("pure_text", (F.col("s.start") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int")).alias("text"))
+    short = found.filter(F.col("end") - F.col("start") < LEAST_SECTION).select("file_id", F.col("start").alias("target"))
+    near = next_within(short, tables.select("file_id", "table_idx", "index")).join(tables.select("file_id", "table_idx", cells_text(F.col("cells")).alias("table")), ["file_id", "table_idx"]).select("file_id", "table")
+    return found.join(near, "file_id", "left").select("file_id", "start", "end", F.concat("text", F.coalesce(F.concat(F.lit("\n\n" + TABLE), "table"), F.lit(""))).alias("text"))
+
+
+def cells_text(cells: Column, form: str = "html") -> Column:
+    """table_text of a table's cells in one array of (row_idx, col_idx, col_label, value)."""
+    ordered = F.array_sort(F.transform(cells, lambda c: F.named_struct(F.lit("r"), c["row_idx"], F.lit("c"), c["col_idx"], F.lit("v"), _shown(c["value"]))))
+    row = lambda o, r: F.transform(F.filter(o, lambda c: c["r"] == r), lambda c: c["v"])
+    rows = let(ordered, lambda o: F.array_distinct(F.transform(F.array_distinct(F.transform(o, lambda c: c["r"])), lambda r: row(o, r))))
+    return _whole(F.transform(rows, lambda r: _line(r, form)), form)
+
+
 def _shown(value: Column) -> Column:
     return F.coalesce(F.regexp_replace(value, "\\n", " "), F.lit("-"))
 
 
+def _line(row: Column, form: str) -> Column:
+    if form == "json":
+        return F.to_json(row)
+    if form == "markdown":
+        return F.concat(F.lit("| "), F.array_join(row, " | "), F.lit(" |"))
+    return F.concat(F.lit("<tr><td>"), F.array_join(row, "</td><td>"), F.lit("</td></tr>"))
+
+
+def _whole(lines: Column, form: str) -> Column:
+    if form == "json":
+        return F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))
+    return F.array_join(lines, "\n") if form == "markdown" else F.concat(F.lit("<table>"), F.array_join(lines, ""), F.lit("</table>"))
+
+
 def table_text(cells: DataFrame, form: str = "html") -> DataFrame:
     """(table_id, text): a table's rows in order, repeated rows once, as html, markdown or json; nulls as -, line ends as spaces."""
     row = F.transform(F.array_sort(F.collect_list(F.struct("col_idx", _shown(F.col("value")).alias("v")))), lambda c: c["v"])
     rows = cells.groupBy("table_id", "row_idx").agg(row.alias("r")).groupBy("table_id", "r").agg(F.min("row_idx").alias("row_idx"))
-    if form == "json":
-        line = F.to_json("r")
-    elif form == "markdown":
-        line = F.concat(F.lit("| "), F.array_join("r", " | "), F.lit(" |"))
-    else:
-        line = F.concat(F.lit("<tr><td>"), F.array_join("r", "</td><td>"), F.lit("</td></tr>"))
-    joined = rows.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", line.alias("l")))), lambda x: x["l"]).alias("x"))
-    whole = {"json": F.concat(F.lit("["), F.array_join("x", ","), F.lit("]")), "markdown": F.array_join("x", "\n"), "html": F.concat(F.lit("<table>"), F.array_join("x", ""), F.lit("</table>"))}
-    return joined.select("table_id", whole[form].alias("text"))
+    joined = rows.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", _line(F.col("r"), form).alias("l")))), lambda x: x["l"]).alias("x"))
+    return joined.select("table_id", _whole(F.col("x"), form).alias("text"))
 
 
 def frames(snippets: DataFrame, tables: DataFrame, key: str) -> DataFrame:
@@ -61,8 +108,33 @@ def frames(snippets: DataFrame, tables: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.concat_ws("\n", head(SNIPPETS, "s"), head(TABLES, "t")).alias("context"))
 
 
+def cut_chunks(text: str, size: int) -> list[tuple[int, int]]:
+    """(start, length) of the parts of a text: each ends at the last newline within size characters, else the last space, else after size; newlines and spaces between parts, and white space behind them, belong to none."""
+    if len(text) < size:
+        return [(0, len(text))]
+    out, i = [], 0
+    while i < len(text):
+        if text[i] in "\n ":
+            m = re.compile(r"\S").search(text, i)
+            if not m:
+                break
+            i = m.start()
+        end = text.rfind("\n", i, i + size)
+        if end < 0:
+            end = text.rfind(" ", i, i + size)
+        if end < 0:
+            end = min(i + size, len(text))
+        out.append((i, end - i))
+        i = end
+    return out
+
+
 def chunks(df: DataFrame, key: str, text: str, size: int = CHUNK) -> DataFrame:
-    """(key, chunk_no, start, chars): a text in equal parts of at most size characters, for models that take no more."""
-    n = F.length(text)
-    cut = df.filter(n > 0).select(key, n.alias("n"), F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(size))).alias("chunk_no", "start"))
-    return cut.select(key, "chunk_no", "start", F.least(F.lit(size), F.col("n") - F.col("start")).alias("chars"))
+    """(key, chunk_no, start, chars) of cut_chunks, for models that take no more than size characters; null and empty texts give no row."""
+
+    @F.pandas_udf("array<struct<start:long,chars:long>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"start": a, "chars": n} for a, n in cut_chunks(t, size)])
+
+    cut = df.filter(F.length(text) > 0).select(key, F.posexplode(run(F.col(text))).alias("chunk_no", "c"))
+    return cut.select(key, "chunk_no", "c.start", "c.chars")

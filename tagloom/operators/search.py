@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import re
-from itertools import combinations
+from collections import Counter, deque
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import CYRILLIC_LOOKS
@@ -17,7 +19,6 @@ NO_TAG = ["AGCC", "agcc"]
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "to", "with", "и", "в", "во", "на", "не", "по", "при", "с", "со", "для", "из", "от", "до"]
 HIT_LIMIT = 50
 LEAST_WIDTH, WIDTH_FACTOR = 150, 4
-MAX_TOKENS = 10
 MANY_HITS = 1_000
 # --------------------------------------------------------------------------------------------------
 
@@ -35,6 +36,14 @@ def is_tag(tag: Column) -> Column:
     return out
 
 
+def has_cyrillic(text: Column) -> Column:
+    return F.lower(text).rlike("[а-яё]")
+
+
+def has_letters(text: Column) -> Column:
+    return F.lower(text).rlike("[a-zа-яё]")
+
+
 def overlaps_itself(needle: str) -> bool:
     return any(needle[:k] == needle[-k:] for k in range(1, len(needle)))
 
@@ -85,49 +94,88 @@ def words_of(text: Column) -> Column:
 
 def proximity(sets: list[list[int]], width: int) -> list[int]:
     """Middles of the groups in which every set has a place within less than width; a group ends where the next begins."""
-    places = sorted((p, i) for i, s in enumerate(sets) for p in s)
     out: list[int] = []
-    window: list[tuple[int, int]] = []
-    for p, i in places:
+    window: deque[tuple[int, int]] = deque()
+    held: Counter[int] = Counter()
+    for p, i in sorted((p, i) for i, s in enumerate(sets) for p in s):
         window.append((p, i))
-        while window and p - window[0][0] >= width:
-            window.pop(0)
-        if len({j for _, j in window}) == len(sets):
+        held[i] += 1
+        while p - window[0][0] >= width:
+            _, old = window.popleft()
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+        if len(held) == len(sets):
             out.append((window[0][0] + p) // 2)
-            window = []
+            window.clear()
+            held.clear()
     return out
 
 
-def token_places(text: str) -> dict[str, list[int]]:
-    out: dict[str, list[int]] = {}
+Lemmas = Callable[[str], Iterable[tuple[str, int]]]
+
+
+def plain_lemmas(text: str) -> Iterator[tuple[str, int]]:
+    """(lemma, place) of the words that count: runs of letters in lower case which are no stop words. Any language model with this form can take its place."""
     for m in re.finditer(r"[^\W\d_]+", text):
         w = m[0].lower()
         if w not in STOP_WORDS:
-            out.setdefault(w, []).append(m.start())
+            yield w, m.start()
+
+
+def token_places(text: str, lemmas: Lemmas = plain_lemmas) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for w, at in lemmas(text):
+        out.setdefault(w, []).append(at)
     return out
 
 
-def phrase_hits(text: str | None, phrase: str | None) -> list[int]:
-    """Where all words of the phrase stand close together; words that don't count are left out, a missing one means no hit."""
-    words = list(dict.fromkeys(token_places(phrase or "")))
-    places = token_places(text or "")
+def _width(words: int) -> int:
+    return max(LEAST_WIDTH, WIDTH_FACTOR * words)
+
+
+def phrase_hits(text: str | None, phrase: str | None, lemmas: Lemmas = plain_lemmas, places: dict[str, list[int]] | None = None) -> list[int]:
+    """Where all words of the phrase stand close together; words that don't count are left out, a missing one means no hit. places is token_places of the text where it is known."""
+    words = list(token_places(phrase or "", lemmas))
+    if places is None:
+        places = token_places(text or "", lemmas) if words else {}
     if not words or any(w not in places for w in words):
         return []
-    return proximity([places[w] for w in words], max(LEAST_WIDTH, WIDTH_FACTOR * len(phrase or "")))
-
-
-def most_specific(text: str | None, phrase: str | None) -> tuple[list[str], list[int]] | None:
-    """The subset of the phrase's words with the fewest hits above none, and its hits; ties by size, then order. At most MAX_TOKENS words are tried."""
-    words = list(dict.fromkeys(token_places(phrase or "")))[:MAX_TOKENS]
-    places = token_places(text or "")
-    width = max(LEAST_WIDTH, WIDTH_FACTOR * len(phrase or ""))
-    best = None
-    for size in range(1, len(words) + 1):
-        for subset in combinations(words, size):
-            if all(w in places for w in subset):
-                hits = proximity([places[w] for w in subset], width)
-                if hits and (best is None or len(hits) < len(best[1])):
-                    best = (list(subset), hits)
+    return proximity([places[w] for w in words], _width(len(phrase or "")))
+
+
+def most_specific(text: str | None, phrase: str | None, fixed: Iterable[str] = (), lemmas: Lemmas = plain_lemmas, places: dict[str, list[int]] | None = None) -> tuple[list[str], list[int]] | None:
+    """The subset of the phrase's words, always with the fixed ones, that has the fewest hits above none, and its hits; ties by size, then order.
+
+    A word more never gives more hits, so subsets grow word by word from those that have hits, words that the text
+    lacks are left out from the start, and a subset with a single hit ends the search. All words of a phrase count.
+    """
+    always = list(token_places(" ".join(fixed), lemmas))
+    words = [w for w in token_places(phrase or "", lemmas) if w not in always]
+    if places is None:
+        places = token_places(text or "", lemmas) if words or always else {}
+    if not words or any(w not in places for w in always):
+        return None
+    width = _width(len(phrase or ""))
+    words = [w for w in words if w in places]
+    best: tuple[list[str], list[int]] | None = None
+    level: list[tuple[int, ...]] = [()]
+    while level:
+        grown = []
+        alive = set(level)
+        for subset in level:
+            for k in range(subset[-1] + 1 if subset else 0, len(words)):
+                new = (*subset, k)
+                if len(new) > 2 and any(new[:i] + new[i + 1 :] not in alive for i in range(len(new) - 1)):
+                    continue
+                hits = proximity([places[words[i]] for i in new] + [places[w] for w in always], width)
+                if hits:
+                    grown.append(new)
+                    if best is None or len(hits) < len(best[1]):
+                        best = (always + [words[i] for i in new], hits)
+                        if len(hits) == 1:
+                            return best
+        level = grown
     return best
 
 
@@ -152,12 +200,74 @@ def specific_search(df: DataFrame, key: str, text: str, phrase: str) -> DataFram
     return df.withColumn("__r", run(F.col(text), F.col(phrase))).filter("__r.hits is not null").select(key, F.array_join("__r.tokens", " ").alias("tokens"), F.size("__r.hits").alias("hits"))
 
 
-def cell_hits(cells: DataFrame, word: str) -> DataFrame:
-    """(table_id, row_idx, col_idx, value) of cells that hold the word; a hit in a header counts for the first row."""
-    value = F.when(F.lower("value").isin("nan", "none", "-"), F.lit("")).otherwise(F.lower("value"))
-    hit = F.array_contains(F.regexp_extract_all(value, F.lit(r"(\p{L}+)"), F.lit(1)), word.lower())
-    head = F.array_contains(F.regexp_extract_all(F.lower("col_label"), F.lit(r"(\p{L}+)"), F.lit(1)), word.lower())
-    return cells.filter(hit | (head & (F.col("row_idx") == 0))).select("table_id", "row_idx", "col_idx", "value")
+def linear(cells: Iterable[tuple[int, int, str | None, str | None]]) -> tuple[str, list[int], list[tuple[int, int] | None]]:
+    """A table, as (row, column, label, value), as one text, with where its parts begin and which cell each is; labels stand for the first row's cells."""
+    rows: dict[int, dict[int, str | None]] = {}
+    labels: dict[int, str] = {}
+    for r, c, label, value in cells:
+        rows.setdefault(r, {})[c] = value
+        labels.setdefault(c, "" if label is None else str(label))
+    text, starts, owners, at = [], [], [], 0
+
+    def put(part: str, owner: tuple[int, int] | None) -> None:
+        nonlocal at
+        text.append(part)
+        starts.append(at)
+        owners.append(owner)
+        at += len(part)
+
+    first = min(rows, default=0)
+    for c in sorted(labels):
+        put(f"{labels[c]} ", (first, c))
+    put("\n", None)
+    for r in sorted(rows):
+        for c in sorted(rows[r]):
+            v = rows[r][c]
+            put(("" if v is None or v in ("nan", "None", "-") else v) + " ", (r, c))
+        put("\n", None)
+    return "".join(text), starts, owners
+
+
+def cells_with(cells: Iterable[tuple[int, int, str | None, str | None]], *phrases: str | None) -> list[list[tuple[int, int]]]:
+    """For each phrase the (row, column) of the cells where its most specific words stand, each once, in order of the hits."""
+    text, starts, owners = linear(cells)
+    places = token_places(text)
+    out = []
+    for phrase in phrases:
+        found = most_specific(text, phrase, places=places)
+        own: dict[tuple[int, int], None] = {}
+        for p in found[1] if found else []:
+            k = bisect.bisect_right(starts, p) - 1
+            while k >= 0 and (owners[k] is None or len(text) == starts[k]):
+                k -= 1
+            if k >= 0 and owners[k] is not None:
+                own[owners[k]] = None
+        out.append(list(own))
+    return out
+
+
+CELLS = "array<struct<row_idx:int,col_idx:int,col_label:string,value:string>>"
+
+
+def gathered_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cells): the cells of each table in one array, in order; a table is small."""
+    cell = F.struct(F.col("row_idx").cast("int").alias("row_idx"), F.col("col_idx").cast("int").alias("col_idx"), "col_label", "value")
+    return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).cast(CELLS).alias("cells"))
+
+
+def table_search(tables: DataFrame, cells: str, phrase: str) -> DataFrame:
+    """tables with points, an array of (row_idx, col_idx): where each row's phrase is found in its table; empty where it isn't.
+
+    The table is read as a text of labels and cells, the phrase's most specific subset is searched in it, and each hit
+    stands for the cell in which its middle lies; a hit in a label stands for the first row.
+    """
+
+    @F.pandas_udf("array<struct<row_idx:int,col_idx:int>>")
+    def run(t: pd.Series, p: pd.Series) -> pd.Series:
+        as_rows = lambda x: [(c["row_idx"], c["col_idx"], c["col_label"], c["value"]) for c in x] if x is not None else []
+        return pd.Series([[{"row_idx": r, "col_idx": c} for r, c in cells_with(as_rows(a), b)[0]] for a, b in zip(t, p, strict=True)])
+
+    return tables.withColumn("points", run(F.col(cells), F.col(phrase)))
 
 
 def mend_looks(text: Column) -> Column:
@@ -171,8 +281,3 @@ def mend_looks(text: Column) -> Column:
         return F.when(((c > 0) & (n > 0) & (c >= n)) | ((n > 3) & low.rlike("^[aceopxybkmht0-9-]+$")), F.translate(w, latin, cyrillic)).otherwise(w)
 
     return F.array_join(F.transform(F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != ""), word), " ")
-
-
-def running_ends(df: DataFrame, keys: list[str], order: str, size: str) -> Column:
-    """Where each piece ends when the pieces of a text are put one behind the other."""
-    return F.sum(size).over(Window.partitionBy(*keys).orderBy(order))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.session import broadcast_if_small, cut
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, id_: str, columns: list[str], stamp: str | None = None) -> DataFrame:
     """The table after new rows replaced old ones of the same key and the rest was added with ids that go on from the largest.
@@ -27,8 +29,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str, id_: str, columns: list[str
 
 
 def _numbered(keys: DataFrame, key: str) -> DataFrame:
-    """Keys with consecutive numbers from 1 in their order, without one task for all: counts of range partitions are added up first."""
-    spread = keys.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    """Keys with consecutive numbers from 1 in their order, without one task for all.
+
+    The sorted ranges are cut from their lineage before they are counted, so that a range computed anew, or merged at
+    run time, can't change the numbers; counts of the ranges are added up.
+    """
+    spread = cut(keys.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
     local = spread.withColumn("__i", F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33))
     sizes = local.groupBy("__p").agg((F.max("__i") + 1).alias("__c"))
     before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__before"))  # one row a partition
@@ -49,7 +55,36 @@ def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 def allowed_lists(validations: DataFrame, allowed: DataFrame) -> DataFrame:
     """(prop_id, target_col, items): the items of the list of each governed cell, in order, joined by |."""
     items = allowed.groupBy("list_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "item"))), lambda x: x["item"]), "|").alias("items"))
-    return validations.join(F.broadcast(items), "list_name").select("prop_id", "target_col", "items")
+    return validations.join(broadcast_if_small(items), "list_name").select("prop_id", "target_col", "items")
+
+
+def enriched(rows: DataFrame, in_header: DataFrame, if_mentioned: DataFrame, keywords: DataFrame, flags: DataFrame, hints: DataFrame) -> DataFrame:
+    """Rows with prop_name_eng plus how their property is searched: search_condition, alt_keywords, flag, desc_for_llm.
+
+    in_header and if_mentioned have name; keywords name, alt_keywords; flags name; hints name, desc_for_llm. A search
+    in the header goes before a mere mention; without an entry the defaults are none, none, 0 and an empty hint. Names
+    count once, the first in order of the value where they repeat.
+    """
+    named = lambda d, c, v: d.groupBy(F.col("name").alias("prop_name_eng")).agg(F.min(v).alias(c))
+    yes = F.lit(True)
+    out = rows
+    for d, c, v in ((in_header, "__h", yes), (if_mentioned, "__m", yes), (keywords, "__k", "alt_keywords"), (flags, "__f", yes), (hints, "__d", "desc_for_llm")):
+        out = out.join(named(d, c, v), "prop_name_eng", "left")
+    condition = F.when(F.col("__h"), "search_in_header").when(F.col("__m"), "only_if_mentioned").otherwise("none")
+    return out.select(*rows.columns, condition.alias("search_condition"), F.coalesce("__k", F.lit("none")).alias("alt_keywords"), F.when(F.col("__f"), 1).otherwise(0).alias("flag"), F.coalesce("__d", F.lit("")).alias("desc_for_llm"))
+
+
+def keyword_list(c: Column) -> Column:
+    """The keywords of a semicolon list, trimmed, empty ones left out; none and null have none."""
+    pieces = F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(c.isNotNull() & (c != "none"), pieces)
+
+
+def prepared(register: DataFrame) -> DataFrame:
+    """(row_id, tag, name_eng, name_rus): the register's rows with a tag, E- before it cut off; names with hyphens for dots and without notes in brackets."""
+    name = lambda c: F.regexp_replace(F.translate(c, ".", "-"), r"\([^()]*\)", "")
+    rows = register.filter("trim(tag_number) != ''")
+    return rows.select("row_id", F.regexp_replace(F.trim("tag_number"), "^E-", "").alias("tag"), name(F.col("property_name")).alias("name_eng"), name(F.col("property_name_rus")).alias("name_rus"))
 
 
 def condition_of(name: Column, in_header: list[str], if_mentioned: list[str]) -> Column:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.session import shuffle_width
+
 # --- fixed values ---------------------------------------------------------------------------------
 MISREAD = {
     "$": "S", "]": "J", "[": "J", "|": "I", "{": "C", "}": "C", "(": "C", ")": "J", "@": "0",
@@ -28,25 +32,82 @@ def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(raw).alias("raw")).withColumn("cleaned", cleaned)
 
 
-def corrected(spark: SparkSession, found: DataFrame, registry: DataFrame) -> DataFrame:
+class Registry:
+    """Registry tags by length, with the counts of their characters.
+
+    The ratio of two texts is twice their matching characters over their lengths, and no more characters match than
+    the texts have in common without regard to order. So a tag is compared only while that bound can beat the best
+    ratio found, from the largest bound down; nothing at CUTOFF or more is missed.
+    """
+
+    def __init__(self, tags: list[str]):
+        self.signs = {c: i for i, c in enumerate(sorted(set("".join(tags))))}
+        by: dict[int, list[str]] = {}
+        for t in sorted(set(tags)):
+            by.setdefault(len(t), []).append(t)
+        self.by = {n: (ts, np.stack([self._counts(t) for t in ts])) for n, ts in by.items() if n}
+
+    def _counts(self, tag: str) -> np.ndarray:
+        return np.bincount([self.signs[c] for c in tag if c in self.signs], minlength=len(self.signs)).astype("int16")
+
+    def nearest(self, word: str) -> tuple[float, str] | None:
+        """(ratio, tag) of the closest tag by at least CUTOFF, of equal ones the last in order."""
+        own, bounds, names = self._counts(word), [], []
+        for n, (tags, counts) in self.by.items():
+            if 2 * min(n, len(word)) >= CUTOFF * (n + len(word)):
+                bound = 2.0 * np.minimum(counts, own).sum(1) / (n + len(word))
+                at = np.flatnonzero(bound >= CUTOFF)
+                bounds.append(bound[at])
+                names += [tags[i] for i in at]
+        best: tuple[float, str] | None = None
+        if names:
+            bound = np.concatenate(bounds)
+            matcher = difflib.SequenceMatcher(None)
+            matcher.set_seq2(word)
+            for i in np.argsort(-bound, kind="stable").tolist():
+                if best and bound[i] < best[0]:
+                    break
+                matcher.set_seq1(names[i])
+                ratio = matcher.ratio()
+                if ratio >= CUTOFF and (best is None or (ratio, names[i]) > best):
+                    best = (ratio, names[i])
+        return best
+
+
+def corrected(spark: SparkSession, found: DataFrame, registry: DataFrame, block: int = 500_000) -> DataFrame:
     """found with fixed: the registry's tag if it is one, else the closest registry tag by at least CUTOFF, else the cleaned form.
 
-    Exact ones go by an equi-join. Each distinct other one is compared with the registry tags that share one of its
-    groups between hyphens or its first or last four characters, found by equi-joins, so nothing is compared with all.
+    Exact ones go by an equi-join. The distinct others, a query set, are compared with the registry block tags at a
+    time, each block broadcast; what has the largest (ratio, tag) over all blocks wins.
     """
-    tags = registry.select(F.col("tag_number").alias("tag")).distinct()
+    tags = registry.select(F.col("tag_number").alias("tag")).filter("tag is not null").distinct()
     exact = found.join(tags.withColumnRenamed("tag", "fixed"), F.col("cleaned") == F.col("fixed"), "left")
     open_ = exact.filter("fixed is null").select("cleaned").distinct()
-    parts = lambda c: F.array_distinct(F.concat(F.filter(F.split(c, "-"), lambda p: F.length(p) > 2), F.array(F.concat(F.lit("^"), F.substring(c, 1, 4)), F.concat(F.lit("$"), F.expr(f"right({c}, 4)")))))
-    pairs = open_.select("cleaned", F.explode(parts("cleaned")).alias("part")).join(tags.select("tag", F.explode(parts("tag")).alias("part")), "part").select("cleaned", "tag").distinct()
+    n = max(1, -(-tags.count() // block))
+    close = None
+    for i in range(n):
+        known = spark.sparkContext.broadcast([r[0] for r in tags.filter(F.pmod(F.xxhash64("tag"), F.lit(n)) == i).collect()])
+
+        def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+            own = Registry(known.value)
+            for b in batches:
+                near = [own.nearest(w) for w in b["cleaned"]]
+                yield pd.DataFrame([(w, *m) for w, m in zip(b["cleaned"], near, strict=True) if m], columns=["cleaned", "score", "near"])
+
+        part = open_.repartition(shuffle_width(spark), "cleaned").mapInPandas(run, "cleaned string, score double, near string")
+        close = part if close is None else close.unionByName(part)
+    best = close.groupBy("cleaned").agg(F.max(F.struct("score", "near")).alias("m")).select("cleaned", F.col("m.near").alias("near"))
+    return exact.join(best, "cleaned", "left").withColumn("fixed", F.coalesce("fixed", "near", "cleaned")).drop("near")
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b, strict=True)])
 
-    close = pairs.withColumn("score", ratio("cleaned", "tag")).filter(F.col("score") >= CUTOFF).groupBy("cleaned").agg(F.max(F.struct("score", "tag")).alias("m")).select("cleaned", F.col("m.tag").alias("near"))
-    return exact.join(close, "cleaned", "left").withColumn("fixed", F.coalesce("fixed", "near", "cleaned")).drop("near")
+def repaired(df: DataFrame, key: str, text: str, fixes: DataFrame) -> DataFrame:
+    """(key, text): each text with its candidates, as candidates() found them, replaced by what corrected() made of them; the fixes of a text go to its row as one small map."""
+    own = fixes.groupBy(key).agg(F.array_distinct(F.collect_list(F.struct("raw", "fixed"))).alias("__f"))
+    pattern = re.compile(CANDIDATE)
 
+    @F.pandas_udf("string")
+    def put(t: pd.Series, f: pd.Series) -> pd.Series:
+        maps = ({x["raw"]: x["fixed"] for x in fs} if fs is not None else {} for fs in f)
+        return pd.Series([pattern.sub(lambda m, own=own: own.get(m[0], m[0]), a) if a and own else a for a, own in zip(t, maps, strict=True)], dtype=object)
 
-def looks_like_tag(raw: str) -> bool:
-    return re.fullmatch(CANDIDATE, raw) is not None
+    return df.select(key, F.col(text).alias("text")).join(own, key, "left").select(key, put("text", "__f").alias("text"))

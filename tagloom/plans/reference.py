@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import name_key, tag_key
-from tagloom.operators import boxes, cascade, contexts, search, slicing, store, tagfix
+from tagloom.functions.text import tag_key
+from tagloom.operators import boxes, cascade, contexts, search, slicing, store, strategies, tagfix
 from tagloom.operators.resolve import registry, with_property
 from tagloom.session import cut, table
 from tagloom.sources import files as sources
@@ -47,9 +47,22 @@ def tag_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.tags_by_text(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(f"SELECT file_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT file_id, tag FROM (SELECT file_id, unnest(regexp_extract_all(pure_text, '{TAG}', 1)) AS tag FROM files) WHERE {VALID}) GROUP BY file_id")
+HEADS = "SELECT file_id, i - 1 AS ord, CAST(json_extract_string(h, '$[0]') AS BIGINT) AS pos, json_extract_string(h, '$[1]') AS heading FROM (SELECT file_id, unnest(CAST(json_extract(headers, '$[*]') AS JSON[])) AS h, generate_subscripts(CAST(json_extract(headers, '$[*]') AS JSON[]), 1) AS i FROM files WHERE headers IS NOT NULL)"
+TABLE_CELLS = "SELECT file_id, table_idx, index, i - 1 AS row_idx, 0 AS col_idx, 'line' AS col_label, piece AS value FROM (SELECT file_id, ord AS table_idx, pos AS index, unnest(string_split(body, chr(10))) AS piece, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM (SELECT h.file_id, h.ord, h.pos, substr(f.pure_text, CAST(h.pos AS INTEGER) + 1, 200) AS body FROM ({HEADS}) h JOIN files f USING (file_id)))"
+
+
+def _table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of one column from the 200 characters behind every heading, as the test data has none: (file_id, table_idx, index, row_idx, col_idx, col_label, value)."""
+    f = table(spark, sf_dir, "files")
+    pick = F.transform(F.from_json("headers", "array<array<string>>"), lambda h, i: F.struct(i.alias("ord"), F.get(h, F.lit(0)).cast("int").alias("pos")))
+    body = F.split(F.substr(F.col("pure_text"), F.col("h.pos") + 1, F.lit(200)), "\n")
+    rows = f.select("file_id", "pure_text", F.explode(pick).alias("h")).select("file_id", F.col("h.ord").alias("table_idx"), F.col("h.pos").cast("long").alias("index"), F.posexplode(body).alias("row_idx", "value"))
+    return rows.select("file_id", "table_idx", "index", F.col("row_idx").cast("long").alias("row_idx"), F.lit(0).cast("long").alias("col_idx"), F.lit("line").alias("col_label"), "value")
+
+
+@query(f"SELECT file_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT file_id, tag FROM (SELECT file_id, unnest(regexp_extract_all(pure_text, '{TAG}', 1)) AS tag FROM files UNION ALL SELECT file_id, unnest(regexp_extract_all(value, '{TAG}', 1)) FROM ({TABLE_CELLS.replace('{HEADS}', HEADS)})) WHERE {VALID}) GROUP BY file_id")
 def mentioned_tags_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = slicing.tags_by_text(table(spark, sf_dir, "files"), "file_id", "pure_text")
+    t = slicing.tags_by_text(table(spark, sf_dir, "files"), "file_id", "pure_text").unionByName(slicing.tags_by_text(_table_cells(spark, sf_dir), "file_id", "value"))
     return t.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
 
 
@@ -75,17 +88,21 @@ def normalize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")).alias("cleaned"))
 
 
+@query(r"SELECT file_id, regexp_replace(regexp_replace(string_agg(text || '[!@#$%]EOP' || page || '[!@#$%]', chr(10) ORDER BY page), '\n+', chr(10), 'g'), ' +', ' ', 'g') AS text FROM (SELECT file_id, i - 1 AS page, body AS text FROM (SELECT file_id, unnest(string_split_regex(pure_text, '\[!@#\$%\]EOP[0-9]+\[!@#\$%\]')) AS body, generate_subscripts(string_split_regex(pure_text, '\[!@#\$%\]EOP[0-9]+\[!@#\$%\]'), 1) AS i FROM files)) GROUP BY file_id")
+def pages_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "files").select("file_id", F.posexplode(F.split("pure_text", slicing.PAGE_MARK, -1)).alias("page", "text"))
+    return slicing.assembled(f)
+
+
 @query("SELECT row_id, regexp_replace(trim(tag_number, ' '), '^E-', '') AS tag, regexp_replace(replace(property_name, '.', '-'), '\\([^()]*\\)', '', 'g') AS name_eng, regexp_replace(replace(property_name_rus, '.', '-'), '\\([^()]*\\)', '', 'g') AS name_rus FROM register WHERE trim(tag_number, ' ') <> ''")
 def register_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "register").filter("trim(tag_number) != ''")
-    name = lambda c: F.regexp_replace(F.translate(c, ".", "-"), r"\([^()]*\)", "")
-    return r.select("row_id", F.regexp_replace(F.trim("tag_number"), "^E-", "").alias("tag"), name(F.col("property_name")).alias("name_eng"), name(F.col("property_name_rus")).alias("name_rus"))
+    return store.prepared(table(spark, sf_dir, "register"))
 
 
 @query("SELECT row_id, regexp_matches(lower(property_value), '[а-яё]') AS cyrillic, regexp_matches(lower(property_value), '[a-zа-яё]') AS letters FROM register")
 def script_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.lower("property_value")
-    return table(spark, sf_dir, "register").select("row_id", v.rlike("[а-яё]").alias("cyrillic"), v.rlike("[a-zа-яё]").alias("letters"))
+    v = F.col("property_value")
+    return table(spark, sf_dir, "register").select("row_id", search.has_cyrillic(v).alias("cyrillic"), search.has_letters(v).alias("letters"))
 
 
 STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
@@ -130,21 +147,11 @@ def tag_lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(r, "tag").groupBy("tag").agg(F.min("file_id").alias("first_file"), F.countDistinct("file_id").alias("files"))
 
 
-@query("SELECT t.tag, min(f.file_id) AS file_id FROM (SELECT DISTINCT tag FROM tags WHERE regexp_full_match(tag, '[A-Z0-9-]+')) t JOIN files f ON contains(f.mentioned_tags, t.tag) GROUP BY t.tag")
+@query("SELECT t.tag, min(f.file_id) AS file_id FROM (SELECT DISTINCT trim(ltrim(tag, chr(65279)), ' ') AS tag FROM tags) t JOIN files f ON contains(f.mentioned_tags, t.tag) WHERE t.tag <> '' GROUP BY t.tag")
 def tag_lookup_substring_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of a mention that is as long as a tag is looked up by an equi-join, so files and tags are never crossed."""
-    t = table(spark, sf_dir, "tags").select("tag").filter(F.col("tag").rlike("^[A-Z0-9-]+$")).distinct()
-    f = table(spark, sf_dir, "files").select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("mentioned_tags", F.lit("([A-Z0-9-]+)"), F.lit(1)))).alias("m"))
-    f = f.groupBy("m").agg(F.min("file_id").alias("file_id"))
-    sizes = [r[0] for r in t.select(F.length("tag").alias("n")).distinct().orderBy("n").collect()]
-
-    def stretches(n: int) -> Column:
-        at = F.when(F.length("m") >= n, F.sequence(F.lit(1), F.length("m") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.substr(F.col("m"), i, F.lit(n)))
-
-    parts = F.flatten(F.array(*map(stretches, sizes)))
-    cut = f.select("file_id", F.explode(F.array_distinct(parts)).alias("tag")).groupBy("tag").agg(F.min("file_id").alias("file_id"))
-    return t.join(cut, "tag")
+    f = table(spark, sf_dir, "files").select("file_id", "mentioned_tags").filter("mentioned_tags is not null")
+    return strategies.contained(f, ["file_id"], "mentioned_tags", tag_registry(spark, sf_dir)).groupBy("tag").agg(F.min("file_id").alias("file_id"))
 
 
 @query(f"SELECT DISTINCT {KEYED.format(c='tag_number')} AS tag FROM register WHERE tag_number IS NOT NULL AND {KEYED.format(c='tag_number')} NOT IN ({TAGS_OF_FILES.replace('DISTINCT file_id, ', '')} WHERE mentioned_tags IS NOT NULL)")
@@ -166,11 +173,14 @@ def property_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.first_wins(table(spark, sf_dir, "part").select("p_name", "p_partkey", "p_brand"), "p_name", "p_partkey")
 
 
-@query("SELECT prop_id, CASE WHEN prop_name_eng IN ('rated power', 'design pressure') THEN 'search_in_header' WHEN prop_name_eng IN ('design pressure', 'dry mass') THEN 'only_if_mentioned' ELSE 'none' END AS condition, coalesce(CASE prop_name_eng WHEN 'rated power' THEN 'power;' WHEN 'dry mass' THEN 'weight;' END, 'none') AS keywords FROM properties")
+@query("SELECT prop_id, CASE WHEN prop_name_eng IN ('rated power', 'design pressure') THEN 'search_in_header' WHEN prop_name_eng IN ('design pressure', 'dry mass') THEN 'only_if_mentioned' ELSE 'none' END AS search_condition, coalesce(CASE prop_name_eng WHEN 'rated power' THEN 'power;' WHEN 'dry mass' THEN 'weight;' END, 'none') AS alt_keywords, CAST(prop_name_eng IN ('dry mass', 'wall thickness') AS INTEGER) AS flag, CASE prop_name_eng WHEN 'wall thickness' THEN 'least value' ELSE '' END AS desc_for_llm FROM properties")
 def property_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([("rated power", "power;"), ("dry mass", "weight;")], "prop_name_eng string, k string")
-    p = table(spark, sf_dir, "properties").select("prop_id", "prop_name_eng").join(F.broadcast(words), "prop_name_eng", "left")
-    return p.select("prop_id", store.condition_of(F.col("prop_name_eng"), ["rated power", "design pressure"], ["design pressure", "dry mass"]).alias("condition"), F.coalesce("k", F.lit("none")).alias("keywords"))
+    one = lambda *rows, more="": spark.createDataFrame([*rows], f"name string{more}")
+    p = table(spark, sf_dir, "properties").select("prop_id", "prop_name_eng")
+    found = store.enriched(
+        p, one(("rated power",), ("design pressure",)), one(("design pressure",), ("dry mass",)), one(("rated power", "power;"), ("dry mass", "weight;"), more=", alt_keywords string"), one(("dry mass",), ("wall thickness",)), one(("wall thickness", "least value"), more=", desc_for_llm string")
+    )
+    return found.drop("prop_name_eng")
 
 
 @query("SELECT external_id, prop_name_eng, prop_name_rus, CASE WHEN prop_desc_eng IS NOT NULL AND prop_desc_rus IS NOT NULL THEN prop_desc_eng ELSE 'none' END AS prop_desc_eng, CASE WHEN prop_desc_eng IS NOT NULL AND prop_desc_rus IS NOT NULL THEN prop_desc_rus ELSE 'none' END AS prop_desc_rus FROM properties WHERE length(prop_name_eng) > 0 AND length(prop_name_rus) > 0 AND contains(external_id, '-') AND NOT contains(external_id, '.ru') AND NOT contains(external_id, '.org')")
@@ -187,25 +197,21 @@ def validation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT prop_id, array_to_string(list_filter(list_transform(string_split(alt_keywords, ';'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS keywords FROM properties WHERE alt_keywords IS NOT NULL AND alt_keywords <> 'none'")
 def alt_keyword_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "properties").filter("alt_keywords != 'none'")
-    return p.select("prop_id", F.array_join(F.filter(F.transform(F.split("alt_keywords", ";"), lambda x: F.trim(x)), lambda x: x != ""), "|").alias("keywords"))
+    return table(spark, sf_dir, "properties").select("prop_id", F.array_join(store.keyword_list(F.col("alt_keywords")), "|").alias("keywords")).filter("keywords is not null")
 
 
 @query("SELECT prop_id, k AS keyword, CASE WHEN regexp_matches(lower(k), '[а-яё]') THEN 'ru' ELSE 'en' END AS route FROM (SELECT prop_id, unnest(list_filter(list_transform(string_split(alt_keywords, ';'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS k FROM properties WHERE alt_keywords <> 'none')")
 def keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "properties").filter("alt_keywords != 'none'").select("prop_id", F.explode(F.filter(F.transform(F.split("alt_keywords", ";"), lambda x: F.trim(x)), lambda x: x != "")).alias("keyword"))
-    return p.withColumn("route", F.when(F.lower("keyword").rlike("[а-яё]"), "ru").otherwise("en"))
+    p = table(spark, sf_dir, "properties").select("prop_id", F.explode(store.keyword_list(F.col("alt_keywords"))).alias("keyword"))
+    return p.withColumn("route", F.when(search.has_cyrillic(F.col("keyword")), "ru").otherwise("en"))
 
 
 TASK_RUN = 10_000
 
 
-@query("SELECT tag_number AS tag, count(*) AS tasks, min(row_id) AS first_row, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY row_id) AS rows FROM register WHERE tag_number IS NOT NULL GROUP BY tag_number HAVING count(*) < 500")
+@query("SELECT tag_number AS tag, count(*) AS tasks, min(row_id) AS first_row, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY row_id) AS rows FROM register WHERE tag_number IS NOT NULL GROUP BY tag_number")
 def tasks_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tag with all its rows; those of a hot tag are put in order in runs of TASK_RUN row ids, which are then only joined, so no sort holds its list.
-
-    The SQL still leaves out tags of 500 rows or more; on tags with fewer both give the same.
-    """
+    """Every tag with all its rows; those of a hot tag are put in order in runs of TASK_RUN row ids, which are then only joined, so no sort holds its list."""
     r = table(spark, sf_dir, "register").filter("tag_number is not null").select("tag_number", "row_id")
     run = F.floor(F.col("row_id") / TASK_RUN).alias("run")
     runs = r.groupBy("tag_number", run).agg(F.count("*").alias("n"), F.min("row_id").alias("least"), F.array_join(F.array_sort(F.collect_list("row_id")), ",").alias("ids"))
@@ -266,16 +272,17 @@ def words_slice_reorigin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.words_in_boxes(_words(spark, sf_dir), _boxes(spark, sf_dir), ["doc_id"])
 
 
-NESTED = "SELECT doc_id, k AS box_id, (doc_id * 13 + k * 17) % 60 AS x1, (doc_id * 7 + k * 29) % 60 AS y1, (doc_id * 13 + k * 17) % 60 + 40 + 30 * (k % 3) AS x2, (doc_id * 7 + k * 29) % 60 + 30 + 40 * (k % 3) AS y2, k % 3 AS depth FROM documents, range(6) t(k)"
+NESTED = "SELECT doc_id, k AS box_id, doc_id * 13 % 60 + (k % 4) * 17 + doc_id * k % 11 AS x1, doc_id * 7 % 60 + (k % 4) * 17 + doc_id * k % 5 AS y1, doc_id * 13 % 60 + 400 - (k % 4) * 17 - (k // 4) * (doc_id % 90) AS x2, doc_id * 7 % 60 + 300 - (k % 4) * 17 - (k // 4) * (doc_id % 70) AS y2, k % 4 AS depth FROM documents, range(8) t(k)"
 IOU = "(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0))"
 AREA = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))"
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.lit(k).cast("long") for k in range(6)])).alias("box_id"))
-    k = F.col("box_id")
-    x, y = (F.col("doc_id") * 13 + k * 17) % 60, (F.col("doc_id") * 7 + k * 29) % 60
-    return d.select("doc_id", "box_id", x.alias("x1"), y.alias("y1"), (x + 40 + 30 * (k % 3)).alias("x2"), (y + 30 + 40 * (k % 3)).alias("y2"), (k % 3).alias("depth"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.lit(k).cast("long") for k in range(8)])).alias("box_id"))
+    k, i = F.col("box_id"), F.col("doc_id")
+    depth, half = k % 4, F.floor(k / 4)
+    x, y = i * 13 % 60, i * 7 % 60
+    return d.select("doc_id", "box_id", (x + depth * 17 + i * k % 11).alias("x1"), (y + depth * 17 + i * k % 5).alias("y1"), (x + 400 - depth * 17 - half * (i % 90)).alias("x2"), (y + 300 - depth * 17 - half * (i % 70)).alias("y2"), depth.alias("depth"))
 
 
 @query(f"WITH b AS ({NESTED}) SELECT a.doc_id, a.box_id AS box_a, b.box_id AS box_b, round(CAST({IOU} AS DOUBLE) / ({AREA.format('a')} + {AREA.format('b')} - {IOU}), 6) AS iou FROM b a JOIN b ON a.doc_id = b.doc_id AND a.box_id < b.box_id WHERE {IOU} > 0")
@@ -283,30 +290,48 @@ def box_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.overlaps(_nested(spark, sf_dir), ["doc_id"])
 
 
-@query(f"WITH b AS ({NESTED}) SELECT doc_id, box_id FROM b a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND b.box_id <> a.box_id AND a.x1 <= b.x1 + 3 AND a.y1 <= b.y1 + 3 AND a.x2 >= b.x2 - 3 AND a.y2 >= b.y2 - 3 AND {AREA.format('b')} < 0.85 * {AREA.format('a')} AND NOT (abs(a.x1 - b.x1) <= 6 AND abs(a.y1 - b.y1) <= 6 AND abs(a.x2 - b.x2) <= 6 AND abs(a.y2 - b.y2) <= 6))")
-def box_wrapper_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.without_wrappers(_nested(spark, sf_dir), ["doc_id"]).select("doc_id", "box_id")
+# A box nearly is one that is kept (shared over joint area above 0.9), or is what a drill-down leaves of it: deeper, every side moved in by 17 pixels a level, within 8.
+TWIN = "({k}.x2 > {b}.x1 AND {b}.x2 > {k}.x1 AND {k}.y2 > {b}.y1 AND {b}.y2 > {k}.y1 AND (least({k}.x2, {b}.x2) - greatest({k}.x1, {b}.x1)) * (least({k}.y2, {b}.y2) - greatest({k}.y1, {b}.y1)) > 0.9 * (({k}.x2 - {k}.x1) * ({k}.y2 - {k}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - (least({k}.x2, {b}.x2) - greatest({k}.x1, {b}.x1)) * (least({k}.y2, {b}.y2) - greatest({k}.y1, {b}.y1))))"
+SHADE = "({b}.depth > {k}.depth AND abs({k}.x1 + 17 * ({b}.depth - {k}.depth) - {b}.x1) <= 8 AND abs({k}.y1 + 17 * ({b}.depth - {k}.depth) - {b}.y1) <= 8 AND abs({k}.x2 - 17 * ({b}.depth - {k}.depth) - {b}.x2) <= 8 AND abs({k}.y2 - 17 * ({b}.depth - {k}.depth) - {b}.y2) <= 8)"
+KEPT = f"o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth, box_id) AS n FROM ({NESTED})), g AS (SELECT doc_id, 1 AS n, [struct_pack(box_id := box_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2, depth := depth)] AS kept FROM o WHERE n = 1 UNION ALL SELECT g.doc_id, o.n, CASE WHEN len(list_filter(g.kept, lambda k: {TWIN.format(k='k', b='o')} OR {SHADE.format(k='k', b='o')})) > 0 THEN g.kept ELSE list_append(g.kept, struct_pack(box_id := o.box_id, x1 := o.x1, y1 := o.y1, x2 := o.x2, y2 := o.y2, depth := o.depth)) END FROM g JOIN o ON o.doc_id = g.doc_id AND o.n = g.n + 1), u AS (SELECT doc_id, unnest(kept, recursive := true) FROM g WHERE n = 8)"
 
 
-@query()
+@query(f"WITH RECURSIVE {KEPT} SELECT doc_id, box_id FROM u")
 def box_dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.dedupe(_nested(spark, sf_dir), ["doc_id"])
 
 
-@query("WITH r AS (SELECT DISTINCT l_suppkey, l_partkey AS y FROM lineitem), m AS (SELECT l_suppkey, y, CASE WHEN y - lag(y) OVER (PARTITION BY l_suppkey ORDER BY y) > 12 THEN 1 ELSE 0 END AS new FROM r), g AS (SELECT l_suppkey, y, sum(new) OVER (PARTITION BY l_suppkey ORDER BY y) AS band FROM m) SELECT l_suppkey, CAST(band AS BIGINT) AS band, min(y) - 3 AS top, max(y) + 3 AS bottom FROM g GROUP BY l_suppkey, band")
+@query(f"WITH RECURSIVE {KEPT} SELECT doc_id, box_id FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.doc_id = a.doc_id AND b.box_id <> a.box_id AND b.x1 >= a.x1 - 17 AND b.y1 >= a.y1 - 17 AND b.x2 <= a.x2 + 17 AND b.y2 <= a.y2 + 17 AND (b.x2 - b.x1) * (b.y2 - b.y1) < 0.85 * ((a.x2 - a.x1) * (a.y2 - a.y1)) AND NOT {SHADE.format(k='a', b='b')})")
+def box_wrapper_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.table_boxes(_nested(spark, sf_dir), ["doc_id"]).select("doc_id", "box_id")
+
+
+# Rows widen by 36 down and 35 up (half of 72); the last band of a page may reach its end; one band is the whole page.
+BANDS = "WITH a AS (SELECT DISTINCT l_suppkey, l_partkey % 2000 // (1 + l_suppkey % 40) AS y FROM lineitem), m AS (SELECT l_suppkey, y, CASE WHEN y - 35 > lag(y + 36) OVER (PARTITION BY l_suppkey ORDER BY y) + 1 THEN 1 ELSE 0 END AS new FROM a), g AS (SELECT l_suppkey, y, sum(new) OVER (PARTITION BY l_suppkey ORDER BY y) AS band FROM m), r AS (SELECT l_suppkey, CAST(band AS BIGINT) AS band, greatest(0, min(y) - 35) AS first, max(y) + 37 AS past FROM g GROUP BY l_suppkey, band)"
+
+
+@query(f"{BANDS} SELECT s_suppkey AS l_suppkey, coalesce(band, 0) AS band, CASE WHEN count(*) OVER (PARTITION BY s_suppkey) = 1 THEN 0 ELSE greatest(0, first - 3) END AS top, CASE WHEN count(*) OVER (PARTITION BY s_suppkey) = 1 OR past >= 2000 THEN 2000 ELSE least(2000, past + 3) END AS bottom FROM supplier LEFT JOIN r ON l_suppkey = s_suppkey")
 def row_bands_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.bands(table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("y")), ["l_suppkey"], 12)
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.floor(F.col("l_partkey") % 2000 / (1 + F.col("l_suppkey") % 40)).alias("y"))
+    pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(2000).alias("height"))
+    return boxes.bands(rows, pages, ["l_suppkey"])
 
 
-FRAMES = "SELECT doc_id, k, k * 480 + doc_id % 40 AS x1, 0 AS y1, k * 480 + doc_id % 40 + 420 + doc_id % 90 AS x2, 950 AS y2, 1000 AS page_w, 1000 AS page_h FROM documents, range(2) t(k)"
+FRAMES = "SELECT doc_id, k, CASE k WHEN 2 THEN 10 ELSE k * 490 + doc_id % 40 END AS x1, 0 AS y1, CASE k WHEN 2 THEN 110 + doc_id % 3 * 200 ELSE k * 490 + doc_id % 40 + 420 + doc_id % 100 END AS x2, CASE k WHEN 1 THEN 950 - doc_id % 7 * 30 ELSE 950 END AS y2, 1000 AS page_w, 1000 AS page_h FROM documents, range(3) t(k)"
 
 
-@query(f"WITH f AS (SELECT *, (x2 - x1) * (y2 - y1) / 1000000.0 AS share FROM ({FRAMES})) SELECT doc_id FROM f GROUP BY doc_id HAVING count(*) = 2 AND min(share) >= 0.4 AND max(share) <= 0.55 AND max(share) <= 1.2 * min(share) AND min(x1) < max(x1) AND min(x2) - max(x1) <= 50")
+@query(f"WITH f AS (SELECT * FROM ({FRAMES}) WHERE (x2 - x1) * (y2 - y1) >= 0.25 * page_w * page_h), two AS (SELECT doc_id FROM f GROUP BY doc_id HAVING count(*) = 2) SELECT a.doc_id FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.x1 < b.x1 WHERE a.doc_id IN (SELECT doc_id FROM two) AND (a.x2 - a.x1) * (a.y2 - a.y1) > 400000 AND (a.x2 - a.x1) * (a.y2 - a.y1) < 550000 AND (b.x2 - b.x1) * (b.y2 - b.y1) > 400000 AND (b.x2 - b.x1) * (b.y2 - b.y1) < 550000 AND greatest((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) <= 1.2 * least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) AND (a.x1 + a.x2) / 2.0 < 500 AND (b.x1 + b.x2) / 2.0 > 500 AND a.x2 - b.x1 <= 0.05 * least(a.x2 - a.x1, b.x2 - b.x1)")
 def double_page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
-    x = F.col("k") * 480 + F.col("doc_id") % 40
-    f = d.select("doc_id", x.alias("x1"), F.lit(0).alias("y1"), (x + 420 + F.col("doc_id") % 90).alias("x2"), F.lit(950).alias("y2"), F.lit(1000).alias("page_w"), F.lit(1000).alias("page_h"))
-    return boxes.double_pages(f, ["doc_id"])
+    return boxes.double_pages(_frames(spark, sf_dir), ["doc_id"])
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    side = F.col("k") * 490 + F.col("doc_id") % 40
+    x1 = F.when(F.col("k") == 2, F.lit(10)).otherwise(side)
+    x2 = F.when(F.col("k") == 2, 110 + F.col("doc_id") % 3 * 200).otherwise(side + 420 + F.col("doc_id") % 100)
+    y2 = F.when(F.col("k") == 1, 950 - F.col("doc_id") % 7 * 30).otherwise(F.lit(950))
+    return d.select("doc_id", x1.alias("x1"), F.lit(0).alias("y1"), x2.alias("x2"), y2.alias("y2"), F.lit(1000).alias("page_w"), F.lit(1000).alias("page_h"))
 
 
 @query("SELECT p_partkey, CAST(i - 1 AS BIGINT) AS ord, CASE WHEN regexp_full_match(w, '[\\s|L_;*]*') THEN '' ELSE w END AS value, CAST((p_partkey * 7 + i - 1) % 100 AS BIGINT) AS confidence, (i - 1) * 100 AS x1, p_partkey % 50 AS y1, (i - 1) * 100 + 80 AS x2, p_partkey % 50 + 20 AS y2 FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part)")
@@ -337,16 +362,13 @@ def hit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT h.file_id, p.page, p.body AS snippet FROM ({_hits('pressure')}) h JOIN ({PAGES}) p ON p.file_id = h.file_id AND h.pos >= p.start AND h.pos < p.start + p.chars")
 def page_bounds_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slicing.snippets(literal_occurrences(spark, sf_dir), page_spans(spark, sf_dir), table(spark, sf_dir, "files"), "file_id", "pure_text")
+    return slicing.snippets(table(spark, sf_dir, "files"), "file_id", "pure_text", "pressure")
 
 
-@query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS logical_page FROM orders")
+@query("SELECT file_id, page AS phys_page, sub, row_number() OVER (PARTITION BY file_id ORDER BY page, sub) - 1 AS logical_page FROM (SELECT file_id, page, unnest(CASE WHEN (file_id + page) % 4 = 0 THEN [0, 1] ELSE [0] END) AS sub FROM (SELECT file_id, unnest(range(0, pages)) AS page FROM files WHERE pages > 0))")
 def logical_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(w) - 1).cast("long").alias("logical_page"))
-
-
-HEADS = "SELECT file_id, i - 1 AS ord, CAST(json_extract_string(h, '$[0]') AS BIGINT) AS pos, json_extract_string(h, '$[1]') AS heading FROM (SELECT file_id, unnest(CAST(json_extract(headers, '$[*]') AS JSON[])) AS h, generate_subscripts(CAST(json_extract(headers, '$[*]') AS JSON[]), 1) AS i FROM files WHERE headers IS NOT NULL)"
+    p = table(spark, sf_dir, "files").filter("pages > 0").select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages").cast("long") - 1)).alias("phys_page"))
+    return boxes.logical_pages(p, "file_id", p.filter("(file_id + phys_page) % 4 = 0"))
 
 
 @query(HEADS)
@@ -363,8 +385,7 @@ def toc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT file_id, ord, regexp_extract(heading, '^(\\d+(?:\\.\\d+)*)\\.?\\s+(.+)$', 1) AS number, regexp_extract(heading, '^(\\d+(?:\\.\\d+)*)\\.?\\s+(.+)$', 2) AS title FROM ({HEADS})")
 def header_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = r"^(\d+(?:\.\d+)*)\.?\s+(.+)$"
-    return header_parse(spark, sf_dir).select("file_id", "ord", F.regexp_extract("heading", p, 1).alias("number"), F.regexp_extract("heading", p, 2).alias("title"))
+    return header_parse(spark, sf_dir).select("file_id", "ord", slicing.numbered(F.col("heading")).alias("n")).select("file_id", "ord", "n.number", "n.title")
 
 
 @query(f'SELECT * FROM (SELECT file_id, ord, heading, pos AS start, lead(pos) OVER (PARTITION BY file_id ORDER BY pos, ord) AS "end" FROM ({HEADS})) WHERE "end" IS NOT NULL')
@@ -372,9 +393,37 @@ def section_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.sections(header_parse(spark, sf_dir))
 
 
-@query(f"SELECT h.file_id, h.ord, CAST(instr(f.pure_text, h.heading) - 1 AS BIGINT) AS found FROM ({HEADS}) h JOIN files f USING (file_id)")
+PAGED = rf"SELECT h.file_id, h.ord, h.pos, h.heading, len(regexp_extract_all(substr(f.pure_text, 1, CAST(h.pos AS INTEGER)), '\[!@#\$%\]EOP[0-9]+\[!@#\$%\]')) AS page, f.pure_text AS t FROM ({HEADS}) h JOIN files f USING (file_id)"
+BOUNDED = rf"SELECT *, greatest(instr(t, '[!@#$%]EOP' || (page - 1) || '[!@#$%]'), 1) AS low, instr(t, '[!@#$%]EOP' || page || '[!@#$%]') AS past, regexp_extract(heading, '^(\d+\.*)+\s+([A-ZА-Я]{{2,}})', 2) AS title, regexp_extract(heading, '^(\d+\.*)+\s+([A-ZА-Я]{{2,}})', 1) AS number FROM ({PAGED})"
+
+
+@query(f"SELECT file_id, ord, page, low - 2 + hit AS pos, heading FROM (SELECT *, CASE WHEN instr(body, CASE WHEN title <> '' THEN title ELSE heading END) > 0 THEN instr(body, CASE WHEN title <> '' THEN title ELSE heading END) ELSE instr(body, CASE WHEN title <> '' THEN number ELSE substr(heading, 1, 5) END) END AS hit FROM (SELECT *, CASE WHEN past = 0 THEN substr(t, low) ELSE substr(t, low, past - low) END AS body FROM ({BOUNDED}))) WHERE hit > 0")
 def header_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slicing.anchored(table(spark, sf_dir, "files"))
+    return slicing.anchored(_paged(spark, sf_dir))
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with heads, an array of (page, text): each heading with the page on which it stands."""
+    before = lambda h: F.size(F.regexp_extract_all(F.substr(F.col("pure_text"), F.lit(1), F.get(h, F.lit(0)).cast("int")), F.lit(f"({slicing.PAGE_MARK})"), F.lit(1)))
+    heads = F.transform(F.from_json("headers", "array<array<string>>"), lambda h: F.struct(before(h).alias("page"), F.get(h, F.lit(1)).alias("text")))
+    return table(spark, sf_dir, "files").select("file_id", "pure_text", heads.alias("heads"))
+
+
+# Every heading stands for a table behind the 30 characters before it; each insertion moves the later ones.
+ANCHORS = f"a AS (SELECT file_id, t, page, CAST(ord AS INTEGER) AS table_idx, substr(t, greatest(CAST(pos AS INTEGER) - 29, 1), least(30, CAST(pos AS INTEGER))) AS before, 'T-' || ord || ';U-' || page AS tags, row_number() OVER (PARTITION BY file_id ORDER BY page, ord) AS n, count(*) OVER (PARTITION BY file_id) AS many FROM ({PAGED}))"
+FOUND = "CASE WHEN a.before <> '' AND contains(substr(g.text, greatest(instr(g.text, '[!@#$%]EOP' || (a.page - 1) || '[!@#$%]'), 1)), a.before) THEN greatest(instr(g.text, '[!@#$%]EOP' || (a.page - 1) || '[!@#$%]'), 1) - 1 + instr(substr(g.text, greatest(instr(g.text, '[!@#$%]EOP' || (a.page - 1) || '[!@#$%]'), 1)), a.before) - 1 + length(a.before) ELSE coalesce((SELECT max(struct_pack(k := k, place := instr(g.text, '[!@#$%]EOP' || k || '[!@#$%]') - 1 + length('[!@#$%]EOP' || k || '[!@#$%]'))).place FROM range(0, a.page) r(k) WHERE contains(g.text, '[!@#$%]EOP' || k || '[!@#$%]')), 0) END"
+
+
+@query(f"WITH RECURSIVE {ANCHORS}, g AS (SELECT DISTINCT file_id, CAST(0 AS BIGINT) AS n, t AS text, CAST([] AS BIGINT[]) AS places FROM a UNION ALL SELECT file_id, n, substr(text, 1, CAST(p AS BIGINT)) || tags || substr(text, CAST(p AS BIGINT) + 1), list_append(places, p + length(tags)) FROM (SELECT g.file_id, a.n, g.text, g.places, a.tags, {FOUND} AS p FROM g JOIN a ON a.file_id = g.file_id AND a.n = g.n + 1)) SELECT g.file_id, g.text, array_to_string(g.places, ',') AS indexes FROM g JOIN (SELECT DISTINCT file_id, many FROM a) m ON m.file_id = g.file_id AND g.n = m.many")
+def insert_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = header_parse(spark, sf_dir)
+    pages = _paged(spark, sf_dir).select("file_id", "pure_text", F.posexplode("heads").alias("ord", "h")).select("file_id", "pure_text", "ord", "h.page")
+    rows = pages.join(h, ["file_id", "ord"])
+    at = F.col("pos").cast("int")
+    before = F.substr(F.col("pure_text"), F.greatest(at - 29, F.lit(1)), F.least(F.lit(30), at))
+    anchor = F.struct("page", F.col("ord").alias("table_idx"), before.alias("before"), F.array(F.concat(F.lit("T-"), F.col("ord"), F.lit(";U-"), F.col("page"))).alias("passport_tags"), F.array().cast("array<string>").alias("tags"))
+    files = rows.groupBy("file_id").agg(F.first("pure_text").alias("text"), F.collect_list(anchor).alias("anchors"))
+    return slicing.insert_tables(files).select("file_id", "text", F.array_join("indexes", ",").alias("indexes"))
 
 
 @query(f"SELECT file_id, ord, heading FROM ({HEADS}) h WHERE NOT EXISTS (SELECT 1 FROM ({HEADS}) c WHERE c.file_id = h.file_id AND c.ord % 2 = 1 AND c.heading = h.heading)")
@@ -412,11 +461,53 @@ def next_other_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.next_other(tag_places(spark, sf_dir), "file_id")
 
 
-@query()
+# Places of one tag before the same other tag are one slice, from the first of them; the rest of the text is one too; 120 characters are too few.
+SLICES = f'SELECT file_id, tag, row_number() OVER (PARTITION BY file_id, tag ORDER BY start) - 1 AS ord, start, "end" FROM (SELECT p.file_id, p.tag, min(p.pos) AS start, coalesce(p."end", length(any_value(f.pure_text))) AS "end" FROM (SELECT a.file_id, a.tag, a.pos, min(b.pos) AS "end" FROM (SELECT *, substr(tag, 1, greatest(length(tag) - 1, 1)) AS stem FROM ({TAG_AT}) WHERE {{which}}) a LEFT JOIN (SELECT *, substr(tag, 1, greatest(length(tag) - 1, 1)) AS stem FROM ({TAG_AT}) WHERE {{which}}) b ON b.file_id = a.file_id AND b.pos > a.pos AND b.stem <> a.stem GROUP BY a.file_id, a.tag, a.pos) p JOIN files f USING (file_id) GROUP BY p.file_id, p.tag, p."end") WHERE "end" - start > 120'
+LISTED = "tag IN (SELECT trim(ltrim(tag, chr(65279)), ' ') FROM tags WHERE tag IS NOT NULL)"
+
+
+@query(SLICES.replace("{which}", "true"))
 def tag_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.tag_slices(table(spark, sf_dir, "files"), "file_id", "pure_text")
 
 
+@query(SLICES.replace("{which}", LISTED))
+def registry_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slicing.tag_slices(table(spark, sf_dir, "files"), "file_id", "pure_text", tag_registry(spark, sf_dir))
+
+
+@query(f"""SELECT s.file_id, s.tag, string_agg(substr(f.pure_text, CAST(s.start AS BIGINT) + 1, CAST(s."end" - s.start AS BIGINT)) || '(!@#$)EOF;' || s.start || ';' || s."end" || ';(!@#$)', chr(10) ORDER BY s.ord) AS text FROM ({SLICES.replace("{which}", LISTED)}) s JOIN files f USING (file_id) GROUP BY s.file_id, s.tag""")
+def slice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slicing.slice_texts(table(spark, sf_dir, "files"), registry_slices(spark, sf_dir), "file_id", "pure_text")
+
+
+def _doc_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _table_cells(spark, sf_dir)
+    tags = slicing.tags_by_text(cells.select("file_id", "table_idx", "value").withColumn("key", F.struct("file_id", "table_idx")), "key", "value").groupBy("key").agg(F.collect_set("tag").alias("tags")).select("key.*", "tags")
+    return search.gathered_cells(cells, ["file_id", "table_idx", "index"]).join(tags, ["file_id", "table_idx"], "left")
+
+
+@query(f"""SELECT DISTINCT s.file_id, s.tag, t.table_idx FROM ({SLICES.replace("{which}", LISTED)}) s JOIN (SELECT file_id, table_idx, any_value(index) AS index, list_distinct(flatten(list(regexp_extract_all(value, '{TAG}', 1)))) AS tags FROM ({TABLE_CELLS.replace("{HEADS}", HEADS)}) GROUP BY file_id, table_idx) t ON t.file_id = s.file_id AND (t.index BETWEEN s.start AND s."end" OR list_contains(t.tags, s.tag))""")
+def tables_of_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slicing.tables_of_slices(registry_slices(spark, sf_dir), _doc_tables(spark, sf_dir))
+
+
+@query(f"""SELECT s.file_id, s.tag, h.ord, h.pos - s.start AS pos, h.heading FROM ({SLICES.replace("{which}", LISTED)}) s JOIN ({HEADS}) h ON h.file_id = s.file_id AND h.pos BETWEEN s.start AND s."end" QUALIFY row_number() OVER (PARTITION BY s.file_id, s.tag, h.ord ORDER BY s.ord) = 1""")
+def headings_of_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slicing.headings_of_slices(registry_slices(spark, sf_dir), header_parse(spark, sf_dir))
+
+
+@query(f"""SELECT file_id, table_idx, tag FROM (SELECT file_id, table_idx, string_agg(value, ' ' ORDER BY row_idx) AS t FROM ({TABLE_CELLS.replace("{HEADS}", HEADS)}) GROUP BY file_id, table_idx), (SELECT DISTINCT trim(ltrim(tag, chr(65279)), ' ') AS tag FROM tags WHERE trim(ltrim(tag, chr(65279)), ' ') <> '') WHERE contains(lower(t), 'паспорт') AND contains(t, tag)""")
+def passport_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategies.passport_tags(_doc_tables(spark, sf_dir), tag_registry(spark, sf_dir))
+
+
+@query("SELECT DISTINCT tag FROM (SELECT trim(ltrim(tag, chr(65279)), ' ') AS tag FROM tags UNION ALL SELECT regexp_replace(trim(tag_number, ' '), '^E-', '') FROM register) WHERE tag <> ''")
+def registry_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with the register's tags."""
+    return tag_registry(spark, sf_dir).union(store.prepared(table(spark, sf_dir, "register")).select("tag")).distinct()
+
+
 @query(f"SELECT file_id, count(*) AS parts, CAST(sum(chars) AS BIGINT) AS chars, count(*) FILTER (WHERE chars > 1000) AS large FROM (SELECT * FROM ({PAGES}) WHERE chars > 0 OR page < n) GROUP BY file_id")
 def context_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_spans(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("parts"), F.sum("chars").alias("chars"), F.count_if(F.col("chars") > 1000).alias("large"))
@@ -448,16 +539,19 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("table_id"), F.lit(0).cast("long").alias("row_idx"), F.posexplode(F.array(F.struct(F.lit("name").alias("l"), F.col("p_name").alias("v")), F.struct(F.lit("brand").alias("l"), F.col("p_brand").alias("v")), F.struct(F.lit("type").alias("l"), F.col("p_type").alias("v")))).alias("col_idx", "x")).select("table_id", "row_idx", F.col("col_idx").cast("long").alias("col_idx"), F.col("x.l").alias("col_label"), F.col("x.v").alias("value"))
 
 
-@query(f"SELECT table_id, row_idx, col_idx, value FROM ({CELLS}) WHERE list_contains(regexp_extract_all(lower(value), '\\p{{L}}+'), 'brushed') OR (row_idx = 0 AND lower(col_label) = 'brushed')")
+# One word stands once for every place, so its cells are those that hold it; a label's hits count for the first row.
+@query(f"SELECT table_id, row_idx, col_idx, value FROM ({CELLS}) WHERE list_contains(regexp_extract_all(lower(value), '\\p{{L}}+'), 'small') OR (row_idx = 0 AND list_contains(regexp_extract_all(lower(col_label), '\\p{{L}}+'), 'small'))")
 def table_cell_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.cell_hits(_cells(spark, sf_dir), "brushed")
+    cells = _cells(spark, sf_dir)
+    found = search.table_search(search.gathered_cells(cells, ["table_id"]).withColumn("phrase", F.lit("the small")), "cells", "phrase")
+    at = found.select("table_id", F.explode("points").alias("p")).select("table_id", F.col("p.row_idx").cast("long").alias("row_idx"), F.col("p.col_idx").cast("long").alias("col_idx"))
+    return at.join(cells, ["table_id", "row_idx", "col_idx"]).select("table_id", "row_idx", "col_idx", "value")
 
 
-@query("SELECT n_regionkey, string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")
+@query("SELECT table_id, string_agg(l, chr(10) ORDER BY o) AS text FROM (SELECT p_brand AS table_id, '| ' || p_type || ' | ' || p_size || ' |' AS l, min(p_partkey) AS o FROM part GROUP BY 1, 2) GROUP BY table_id")
 def table_repr_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), F.coalesce(F.regexp_replace("n_name", "\\n", " "), F.lit("-")), F.lit(" |"))
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))).alias("x"))
-    return rows.select("n_regionkey", F.array_join(F.transform("x", lambda r: r["r"]), "\n").alias("markdown"))
+    cells = table(spark, sf_dir, "part").select(F.col("p_brand").alias("table_id"), F.col("p_partkey").alias("row_idx"), F.posexplode(F.array("p_type", F.col("p_size").cast("string"))).alias("col_idx", "value"))
+    return contexts.table_text(cells, "markdown")
 
 
 @query("SELECT p_brand, p_type, p_size, min(p_partkey) AS first_row FROM part GROUP BY p_brand, p_type, p_size")
@@ -511,80 +605,79 @@ def result_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "register").select("row_id", cascade.is_valid(v).alias("valid"), cascade.is_valid(v, F.array(F.lit("yes"), F.lit("no"), F.lit("да"))).alias("listed"))
 
 
-RANKED = {k: (n, c) for k, (n, c) in enumerate(sorted(cascade.CONFIDENCE.items()))}
-CANDIDATES = f"SELECT row_id % 997 AS row_id, CASE row_id % 7 {' '.join(f'WHEN {k} THEN {n!r}' for k, (n, _) in RANKED.items())} END AS strategy, CASE row_id % 7 {' '.join(f'WHEN {k} THEN {c}' for k, (_, c) in RANKED.items())} END AS confidence, min(property_value) AS value FROM register GROUP BY 1, 2, 3"
-
-
-@query(f"SELECT row_id, value, strategy, CAST(confidence AS DOUBLE) AS confidence FROM ({CANDIDATES}) WHERE value IS NOT NULL AND value NOT IN ({NO}) AND NOT starts_with(value, 'NOANS') AND NOT ends_with(value, 'NOANS') AND NOT starts_with(value, '```') QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY confidence DESC, strategy DESC) = 1")
-def cascade_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("row_id") % 7
-    name, confidence = (F.element_at(F.create_map(*[F.lit(x) for i, v in RANKED.items() for x in (i, v[j])]), k.cast("int")) for j in (0, 1))
-    r = table(spark, sf_dir, "register").select((F.col("row_id") % 997).alias("row_id"), name.alias("strategy"), confidence.alias("confidence"), "property_value")
-    c = r.groupBy("row_id", "strategy", "confidence").agg(F.min("property_value").alias("value")).withColumn("possible", F.lit(None).cast("array<string>")).withColumn("uom", F.lit(""))
-    return cascade.best_answers(c).select("row_id", "value", "strategy", "confidence")
-
-
 WAYS = [("table_en", "property_value"), ("simple_en", "uom"), ("tokens_en", "property_description_rus")]
 EVERY = " UNION ALL ".join(f"SELECT row_id, {c} AS value, {n!r} AS strategy, {cascade.CONFIDENCE[n]} AS confidence FROM register" for n, c in WAYS)
 
 
 @query(f"SELECT row_id, value, strategy, CAST(confidence AS DOUBLE) AS confidence FROM ({EVERY}) WHERE value IS NOT NULL AND value NOT IN ({NO}) AND NOT starts_with(value, 'NOANS') AND NOT ends_with(value, 'NOANS') AND NOT starts_with(value, '```') QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY confidence DESC, strategy DESC) = 1")
-def cascade_best_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cascade_best over every register row, with its value, unit and description as three strategies."""
+def cascade_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every register row with its value, unit and description as the answers of three strategies."""
     each = F.explode(F.array(*(F.struct(F.col(c).alias("value"), F.lit(n).alias("strategy"), F.lit(cascade.CONFIDENCE[n]).alias("confidence")) for n, c in WAYS)))
     c = table(spark, sf_dir, "register").select("row_id", each.alias("c")).select("row_id", "c.*")
     return cascade.best_answers(c.withColumn("possible", F.lit(None).cast("array<string>")).withColumn("uom", F.lit(""))).select("row_id", "value", "strategy", "confidence")
 
 
-def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers from the lines "name: number" of all pages that name the tag, in the order of files, pages and lines.
+def _tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, tasks, keywords): register rows with the tag of the registry and the property they mean; the questions they ask, in every file that mentions the tag; their keywords.
 
-    A line belongs to a task if its name is the dictionary's for the property the row means, the typed one, or an
-    alternative keyword, tried in this order within a tier. Rows that ask the same of the same tag are asked once.
-    The lines, the rows of their tags and the answers are checkpointed, as each is read several times.
+    Rows that ask the same of the same tag are asked once, under the least row_id.
     """
-    f = table(spark, sf_dir, "files")
-    spans = slicing.page_spans(f, "file_id", "pure_text")
-    pages = spans.join(f.select("file_id", "pure_text"), "file_id").select("file_id", "page", F.substring(F.col("pure_text"), F.col("start").cast("int") + 1, F.col("chars")).alias("body"))
-    by_tag = pages.select(F.explode(F.array_distinct(search.tags_in(F.col("body")))).alias("tag"), "file_id", "page", "body")
-    lines = by_tag.select("tag", "file_id", "page", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(r"^[^:]{3,60}: -?[0-9]"))
-    written = F.substring_index("line", ":", 1)
-    found = lines.select(tag_key(F.col("tag")).alias("tag"), name_key(written).alias("key"), written.alias("name"), F.col("line").alias("context"), F.struct("file_id", "page", "line_no").alias("at"))
-    found = cut(found.groupBy("tag", "key", "name", "context").agg(F.min("at").alias("at")))
-
+    keyed = registry(table(spark, sf_dir, "tags"))
     properties = table(spark, sf_dir, "properties")
-    register = table(spark, sf_dir, "register").withColumn("tag", tag_key(F.col("tag_number"))).join(found.select("tag").distinct(), "tag", "left_semi")
-    register = cut(register.select("row_id", "tag", "property_name", "property_name_rus"))
-    meant = with_property(register, properties, ["row_id"])
-    same = ["tag", "en", "ru", "prop_id"]
-    typed = register.select("row_id", "tag", *(F.coalesce(name_key(F.col(c)), F.lit("")).alias(k) for c, k in (("property_name", "en"), ("property_name_rus", "ru"))))
-    rows = cut(typed.join(meant, "row_id", "left").fillna(-1, ["prop_id"]))
-    questions = rows.groupBy(*same).agg(F.min("row_id").alias("row_id"))
-
-    keyword = F.explode(F.filter(F.transform(F.split("alt_keywords", ";"), lambda x: F.trim(x)), lambda x: x != ""))
-    keywords = properties.filter("alt_keywords != 'none'").select("prop_id", keyword.alias("k")).select("prop_id", F.when(F.lower("k").rlike("[а-яё]"), "ru").otherwise("en").alias("tier"), name_key(F.col("k")).alias("key"))
-    in_dictionary = F.explode(F.array(F.struct(F.lit("en").alias("tier"), name_key(F.col("prop_name_eng")).alias("key")), F.struct(F.lit("ru").alias("tier"), name_key(F.col("prop_name_rus")).alias("key"))))
-    known = properties.select("prop_id", in_dictionary.alias("n")).select("prop_id", "n.tier", "n.key").filter("key != 'none'").withColumn("rank", F.lit(0)).unionByName(keywords.withColumn("rank", F.lit(2)))
-    as_typed = questions.select("row_id", "tag", F.explode(F.array(*(F.struct(F.lit(k).alias("tier"), F.col(k).alias("key"), F.lit(1).alias("rank")) for k in ("en", "ru")))).alias("n")).select("row_id", "tag", "n.*")
-    names = questions.select("row_id", "tag", "prop_id").join(known, "prop_id").drop("prop_id").unionByName(as_typed).filter("key != ''")
-
-    asked = questions.select("row_id", F.when(F.col("en") != "", F.col("en")).otherwise(F.col("ru")).alias("name"), F.lit(None).cast("string").alias("values"), F.lit("").alias("hint"), F.lit(None).cast("array<string>").alias("possible"))
-    lines_of = cut(names.join(found, ["tag", "key"]).select("row_id", "tier", "context", "name", F.struct("rank", "at").alias("ord")))
-    contexts = lambda t: lines_of.filter(F.col("tier") == t).drop("tier")
-    answers = cut(cascade.solve(asked, [("simple_en", 0.6, contexts("en")), ("simple_ru", 0.5, contexts("ru"))], cascade.RuleExtractor()))
-    return rows.join(questions.join(answers, "row_id").drop("row_id"), same).drop(*same)
+    register = table(spark, sf_dir, "register").filter("tag_number is not null")
+    meant = with_property(register, properties, ["row_id", "tag_number"])
+    rows = meant.select("row_id", "prop_id", tag_key(F.col("tag_number")).alias("tag_key")).join(keyed, "tag_key").select("row_id", "prop_id", F.col("tag_number").alias("tag"))
+    mentions = slicing.tags_by_text(table(spark, sf_dir, "files"), "file_id", "pure_text").join(keyed.select(F.col("tag_number").alias("tag")), "tag")
+    rows = cut(rows.join(mentions.select("tag").distinct(), "tag", "left_semi"))
+    questions = rows.groupBy("tag", "prop_id").agg(F.min("row_id").alias("row_id"))
+    items = store.allowed_lists(table(spark, sf_dir, "validations"), table(spark, sf_dir, "allowed_items"))
+    listed = lambda c, name: items.filter(F.col("target_col") == c).groupBy("prop_id").agg(F.first("items").alias(name))
+    known = properties.select("prop_id", F.coalesce("prop_name_eng", F.lit("")).alias("name_en"), F.nullif(F.coalesce("prop_name_rus", F.lit("")), F.lit("none")).alias("name_ru"), F.col("search_condition").alias("condition"), F.coalesce("desc_for_llm", F.lit("")).alias("hint"))
+    known = known.join(listed("property_value", "values"), "prop_id", "left").join(listed("uom", "units"), "prop_id", "left")
+    known = known.withColumn("possible", F.lit(None).cast("array<string>")).withColumn("kind", F.lit("")).fillna("", ["name_ru"])
+    tasks = cut(questions.join(mentions, "tag").join(known, "prop_id").drop("prop_id"))
+    words = properties.select("prop_id", F.posexplode(store.keyword_list(F.col("alt_keywords"))).alias("keyword_no", "keyword"))
+    return rows, tasks, questions.join(words, "prop_id").select("row_id", "keyword_no", "keyword")
+
+
+def _material(spark: SparkSession, sf_dir: str, tasks: DataFrame) -> strategies.Material:
+    files = table(spark, sf_dir, "files").select("file_id", "pure_text")
+    m = strategies.preload(files, header_parse(spark, sf_dir), cut(_doc_tables(spark, sf_dir)), tag_registry(spark, sf_dir), tasks)
+    slices = cut(m.slices)
+    return strategies.Material(slices, cut(m.texts), cut(m.tables), cut(m.passports), m.headings, cut(m.sections))
+
+
+@query(f"""WITH s AS ({SLICES.replace("{which}", LISTED)}), tb AS (SELECT file_id, table_idx, any_value(index) AS index, list_distinct(flatten(list(regexp_extract_all(value, '{TAG}', 1)))) AS tags FROM ({TABLE_CELLS.replace("{HEADS}", HEADS)}) GROUP BY file_id, table_idx) SELECT file_id, tag, count(*) AS slices, CAST(sum("end" - start) AS BIGINT) AS chars, (SELECT count(DISTINCT t.table_idx) FROM tb t JOIN s x ON t.file_id = x.file_id WHERE x.file_id = s.file_id AND x.tag = s.tag AND (t.index BETWEEN x.start AND x."end" OR list_contains(t.tags, x.tag))) AS tables, (SELECT count(DISTINCT h.ord) FROM ({HEADS}) h JOIN s x ON h.file_id = x.file_id WHERE x.file_id = s.file_id AND x.tag = s.tag AND h.pos BETWEEN x.start AND x."end") AS headings FROM s GROUP BY file_id, tag""")
+def preload_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each file says of each registry tag that it mentions."""
+    files = table(spark, sf_dir, "files")
+    tasks = slicing.tags_by_text(files, "file_id", "pure_text").join(tag_registry(spark, sf_dir), "tag", "left_semi")
+    m = strategies.preload(files, header_parse(spark, sf_dir), _doc_tables(spark, sf_dir), tag_registry(spark, sf_dir), tasks)
+    key = ["file_id", "tag"]
+    out = m.slices.groupBy(*key).agg(F.count("*").alias("slices"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+    for name, d in (("tables", m.tables), ("headings", m.headings)):
+        out = out.join(d.groupBy(*key).agg(F.count("*").alias(name)), key, "left")
+    return out.fillna(0, ["tables", "headings"])
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, tasks, keywords = _tasks(spark, sf_dir)
+    return rows, tasks, cut(strategies.solve_register(tasks, _material(spark, sf_dir, tasks), cascade.RuleExtractor(), keywords))
 
 
 @query()
 def register_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "register").select("row_id", "property_value", "uom")
-    return cascade.fill(r, _answers(spark, sf_dir))
+    """The register with what all tiers of the cascade find in the files, answered by the offline extractor."""
+    rows, _, tried = _attempts(spark, sf_dir)
+    asked = rows.groupBy("tag", "prop_id").agg(F.min("row_id").alias("first"))
+    answers = tried.filter("valid").select(F.col("row_id").alias("first"), "value", F.when(F.col("uom") != "NOANS", F.col("uom")).alias("uom")).join(asked, "first").drop("first").join(rows, ["tag", "prop_id"]).select("row_id", "value", "uom")
+    return cascade.fill(table(spark, sf_dir, "register").select("row_id", "property_value", "uom"), answers)
 
 
 @query()
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = table(spark, sf_dir, "register").select("row_id").join(_answers(spark, sf_dir).select("row_id", "confidence"), "row_id", "left")
-    return tasks.agg(F.count("*").alias("tasks"), F.count_if(F.col("confidence").isNotNull()).alias("solved"), F.count_if(F.col("confidence").isNull()).alias("failed"))
+    _, tasks, tried = _attempts(spark, sf_dir)
+    return cascade.summary(tasks, tried)
 
 
 @query("SELECT file_id, page FROM (SELECT file_id, unnest(range(0, pages)) AS page FROM files WHERE pages > 0) WHERE page BETWEEN 1 AND 3 AND (file_id * 31 + page) % 4 <> 0")
@@ -643,17 +736,20 @@ def context_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts.frames(h.filter("ord < 3"), h.filter("ord >= 2"), "file_id")
 
 
-@query("SELECT file_id, c AS chunk_no, c * 1000 AS start, least(1000, n - c * 1000) AS chars FROM (SELECT file_id, length(pure_text) AS n, unnest(range(0, (length(pure_text) + 999) // 1000)) AS c FROM files)")
+LAST_NEWLINE, LAST_SPACE = (f"CASE WHEN contains(w, {c}) THEN i + length(w) - instr(reverse(w), {c}) END" for c in ("chr(10)", "' '"))
+
+
+@query(f"WITH RECURSIVE g AS (SELECT file_id, pure_text AS t, CAST(-1 AS BIGINT) AS chunk_no, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS past FROM files WHERE length(pure_text) > 0 UNION ALL SELECT file_id, t, chunk_no, i, CASE WHEN length(t) < 1000 THEN length(t) ELSE coalesce({LAST_NEWLINE}, {LAST_SPACE}, least(i + 1000, length(t))) END FROM (SELECT *, substr(t, i + 1, 1000) AS w FROM (SELECT file_id, t, chunk_no + 1 AS chunk_no, CASE WHEN substr(t, past + 1, 1) IN (' ', chr(10)) AND length(t) >= 1000 THEN past + length(regexp_extract(substr(t, past + 1), '^\\s*')) ELSE past END AS i FROM g WHERE past < length(t)) WHERE i < length(t))) SELECT file_id, chunk_no, start, past - start AS chars FROM g WHERE chunk_no >= 0")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts.chunks(table(spark, sf_dir, "files"), "file_id", "pure_text", 1000)
 
 
-@query("SELECT file_id, file_name, pages IS NOT NULL AS paged FROM files WHERE pages BETWEEN 2 AND 5 AND length(pure_text) >= 500")
+@query("SELECT file_id, page FROM (SELECT file_id, pages, unnest(range(0, pages)) AS page FROM files WHERE pages > 0) WHERE page BETWEEN greatest(1, 0) AND least(3, pages - 1)")
 def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "files").filter(F.col("pages").between(2, 5) & (F.length("pure_text") >= 500))
-    return f.select("file_id", "file_name", F.col("pages").isNotNull().alias("paged"))
+    f = table(spark, sf_dir, "files").select("file_id", F.col("pages").cast("long").alias("pages"))
+    return sources.page_range(f, 1, 3).select("file_id", "page")
 
 
-@query(f"WITH b AS ({NESTED}) SELECT doc_id, box_id FROM b WHERE x2 - x1 >= 60 AND y2 - y1 >= 60")
+@query(f"WITH b AS ({NESTED}) SELECT doc_id, box_id FROM b WHERE x2 - x1 >= 250 AND y2 - y1 >= 250")
 def box_min_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.large_enough(_nested(spark, sf_dir), 60).select("doc_id", "box_id")
+    return boxes.large_enough(_nested(spark, sf_dir), 250).select("doc_id", "box_id")

@@ -56,6 +56,18 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def write_register(register: DataFrame, path: str) -> None:
+    """The filled register as Parquet, or as CSV with a header where path ends so; written anew."""
+    out = register.write.mode("overwrite")
+    out.option("header", True).csv(path) if path.endswith(".csv") else out.parquet(path)
+
+
+def ingest_folder(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """(file_name, length, content) of every document under a folder that known (file_name) lacks: one job over the folder, however many files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "content")
+    return found if known is None else found.join(known.select("file_name").distinct(), "file_name", "left_anti")
+
+
 def read_dumps(spark: SparkSession, *paths: str) -> DataFrame:
     """Property dumps of several JSON files, one behind the other."""
     out = None
@@ -65,10 +77,16 @@ def read_dumps(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def read_binary(spark: SparkSession, path: str, first: int = 0, last: int | None = None) -> DataFrame:
-    """Scanned documents as binary rows for a render and recognition stage in mapInPandas; first and last bound its pages."""
-    df = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    return df.withColumn("first_page", F.lit(first)).withColumn("last_page", F.lit(last).cast("int"))
+def read_binary(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content): scanned documents of a folder as rows, one job for all, for a render and recognition stage in mapInPandas."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+
+
+def page_range(files: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """files (with pages) with a row for each page from first to last, both included, counted from 0 and kept within the file; all pages without bounds. Files without pages give no row."""
+    low = F.greatest(F.lit(first or 0), F.lit(0)).cast("long")
+    high = F.col("pages").cast("long") - 1 if last is None else F.least(F.lit(last).cast("long"), F.col("pages").cast("long") - 1)
+    return files.withColumn("page", F.explode(F.when(F.col("pages").isNotNull() & (high >= low), F.sequence(low, high))))
 
 
 def not_done(pages: DataFrame, done: DataFrame) -> DataFrame:
