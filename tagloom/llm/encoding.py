@@ -86,20 +86,39 @@ def costs(counts: np.ndarray) -> np.ndarray:
 
 UPPER_INSIDE = re.compile(r"[a-zà-öø-ÿа-яёіїєґ][A-ZÀ-ÖØ-ÞА-ЯЁІЇЄҐ]{2}|[а-яёіїєґ][А-ЯЁІЇЄҐ][а-яёіїєґ]")
 STRANGE = re.compile(f"[^\\W\\d_\x00-\x7f]|[{ODD}]")
-SURE = re.compile(r"[\x80-\x84\x86-\x9f�]|(?:^|[\s(])\?{2,}")  # no correct text has these characters, or words that begin with several question marks
+SURE = re.compile(r"[\x80-\x84\x86-\x9f�]")  # no correct text has these characters
+MARKS, INSIDE = re.compile(r"(?<![^\s(])\?{2,}"), re.compile(r"[^\W\d_]\?{2,}[^\W\d_]")
 PLAIN = re.compile(f"(?i)[\x21-\x7e{LETTERS}°±²³µ·×«»—–‘’“”„…€№•§½¼″Øø≈≤≥→Δ�]+")
 SAME = ("", 0.0, ())
 
 
+def lost(line: str) -> bool:
+    """True where letters of the line were lost: control or replacement characters, several question marks between letters, or words that begin with them.
+
+    One such word of two or three may be meant, so it takes four question marks in a row, or several such words with half as many question marks as the line has letters.
+    """
+    if SURE.search(line):
+        return True
+    if "??" not in line:
+        return False
+    runs = MARKS.findall(line)
+    many = len(runs) > 1 and 2 * sum(map(len, runs)) >= sum(c.isalpha() for c in line)
+    return many or any(len(r) > 3 for r in runs) or INSIDE.search(line) is not None
+
+
 class Repairer:
     """Best-first search over re-encodings of a word; the cost of its character pairs guides it to the cheapest text.
 
+    It ends with a plausible text, or when no state is left that costs less than the word as it stands: a reading
+    that is undone must make the text cheaper, or be one of the first. depth bounds how often a text may have been
+    read wrongly; the number of states isn't bounded.
+
     Words are what stands between plain spaces, so that sequences of bytes shown as no-break spaces stay whole. What
     was found for a word is kept, as the same words come again in many lines.
     """
 
-    def __init__(self, cost: np.ndarray, depth: int = 3, states: int = 40):
-        self.cost, self.depth, self.states = cost, depth, states
+    def __init__(self, cost: np.ndarray, depth: int = 3):
+        self.cost, self.depth = cost, depth
         self.known: dict[str, tuple[str, float, tuple]] = {}
 
     def word_cost(self, w: str) -> float:
@@ -123,8 +142,10 @@ class Repairer:
         wide = len(STRANGE.findall(w)) > 1 and start > 3.9 * (len(w) + 1)
         best = (start, w, ())
         heap, seen = [(start, w, ())], {w}
-        while heap and len(seen) < self.states:
+        while heap:
             c, at, way = heapq.heappop(heap)
+            if c > start:
+                break
             if way and c < 3.3 * (len(at) + 1) and PLAIN.fullmatch(at):
                 break
             if len(way) == self.depth:
@@ -164,7 +185,7 @@ class Repairer:
                 if way:
                     ways[way] = ways.get(way, 0.0) + gain
         if not ways:
-            return bool(SURE.search(line)), None
+            return lost(line), None
         main = max(ways, key=ways.get)
         return True, " ".join(self._along(w, main) if not w.isascii() or "&" in w or "\\u" in w else w for w in words)
 
@@ -212,7 +233,7 @@ def wrong_lines(documents: DataFrame, counts: np.ndarray, key: str = "doc_id", t
     """(key, line_no, garbled, restored): the lines, cut at newlines and counted from 0, that hold wrongly decoded characters.
 
     A line is taken when a re-reading of the bytes of one of its words is clearly cheaper by the pair model counts, or
-    when it has control or replacement characters, or words of question marks, which no correct text has. restored is null for lines of which
+    when letters of it were lost (see lost()). restored is null for lines of which
     nothing could be restored. Null and empty texts give no row; each row is judged for itself, so repeated texts
     come out each.
     """
