@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.glyphs import canonical
+from tagloom.llm.glyphs import cleaned
 from tagloom.llm.pages import TORN_MARKS, Page, read
+from tagloom.session import shuffle_width
 
 # --- fixed values ---------------------------------------------------------------------------------
 FAMILIES = {"cyrillic": ["ru", "uk"], "latin": ["de", "en", "fr"]}
@@ -26,9 +31,12 @@ CODES = {
 }
 # --------------------------------------------------------------------------------------------------
 DIM = 1 << 15
-LANGUAGES = [x for v in FAMILIES.values() for x in v]
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-NAMED = re.compile(r"\S*\d\S*")
+CYRILLIC_WORD, LATIN_LETTER, CYRILLIC_LETTER = re.compile("[Ѐ-ӿ]+"), re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]"), re.compile("[Ѐ-ӿ]")
+NUMBERED = re.compile(r"\d+(\.\d+)*\.? [^\W\d_]")
+FIELD = re.compile(r"[^\W\d_][^:.]{2,60}: -?[\d.,]+ ?\S{0,5}$")
+DIGIT = re.compile(r"\d")
+UNKNOWN = "und"
 SENTENCE_END = re.compile(r"[.!?;:][\"»”)]*$")
 
 
@@ -41,10 +49,15 @@ def label(c: Column) -> Column:
     return out
 
 
+@functools.lru_cache(200_000)
 def family(word: str) -> str:
-    """cyrillic or latin by most of the letters."""
-    c = sum("Ѐ" <= ch <= "ӿ" for ch in word)
-    return "cyrillic" if 2 * c > len(word) else "latin"
+    """cyrillic or latin by most of the letters; other where neither has most."""
+    if word.isascii():
+        return "latin"
+    if CYRILLIC_WORD.fullmatch(word):
+        return "cyrillic"
+    c, n = len(CYRILLIC_LETTER.findall(word)), len(LATIN_LETTER.findall(word))
+    return "cyrillic" if 2 * c > len(word) else "latin" if 2 * n >= len(word) or c else "other"
 
 
 def features(word: str) -> list[int]:
@@ -102,14 +115,17 @@ def segments(pages: list[Page], least_words: int = 3) -> list[Segment]:
     sentences: list[list[tuple[str, int]]] = [[]]
     torn = ""
     torn_page = 0
-    for p in pages:
+    for p in cleaned(pages):
         for i, line in enumerate(p.lines):
-            if i in p.running or not line.strip():
+            if i in p.running:
                 continue
-            line = canonical(line)
             parts = line.split()
-            if re.match(r"\d+(\.\d+)*\.? [^\W\d_]", line) or re.match(r"[^\W\d_][^:.]{2,60}: -?[\d.,]+ ?\S{0,5}$", line):
+            if not parts:
+                continue
+            field = ":" in line and FIELD.match(line)
+            if field or (line[0].isdigit() and NUMBERED.match(line)):
                 sentences.append([])
+            last = len(parts) - 1
             for k, raw in enumerate(parts):
                 if torn:
                     raw = torn + raw
@@ -117,16 +133,18 @@ def segments(pages: list[Page], least_words: int = 3) -> list[Segment]:
                     if found:
                         sentences[-1] += [(found[0], torn_page), (found[0], p.number)]
                     torn = ""
-                elif k == len(parts) - 1 and len(raw) > 1 and raw[-1] in TORN_MARKS and raw[-2].isalpha():
+                elif raw.isalpha():
+                    if len(raw) > 5 or not raw.isupper():
+                        sentences[-1].append((raw, p.number))
+                    continue
+                elif k == last and len(raw) > 1 and raw[-1] in TORN_MARKS and raw[-2].isalpha():
                     torn, torn_page = raw[:-1], p.number
                     continue
-                elif NAMED.fullmatch(raw):
-                    pass
-                else:
+                elif not DIGIT.search(raw):
                     sentences[-1] += [(w, p.number) for w in WORD.findall(raw) if not (w.isupper() and len(w) < 6)]
                 if SENTENCE_END.search(raw):
                     sentences.append([])
-            if re.match(r"[^\W\d_][^:.]{2,60}: -?[\d.,]+ ?\S{0,5}$", line):
+            if field:
                 sentences.append([])
     out: list[Segment] = []
     for s in sentences:
@@ -153,63 +171,94 @@ class Discriminator:
 
     def __init__(self, machines: list[Svm]):
         self.machines = machines
-        self.known: dict[str, np.ndarray] = {}
-
-    def score(self, word: str) -> np.ndarray:
-        s = self.known.get(word)
-        if s is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            x = features(word)
-            s = self.known[word] = np.array([*(m.weights[x].sum() for m in self.machines), len(x)])
-        return s
-
-    def judge(self, words: list[str], fam: str) -> tuple[str, float]:
-        """(language, confidence): most duels won, ties by margin; the confidence is the least sure of the winner's duels."""
-        sums = np.sum([self.score(w) for w in words], axis=0)
-        sums = sums[:-1] / np.sqrt(sums[-1])
-        won = dict.fromkeys(FAMILIES[fam], 0.0)
-        sure = dict.fromkeys(FAMILIES[fam], 1.0)
-        for m, v in zip(self.machines, sums.tolist(), strict=True):
-            if m.first in won:
-                a, b = (m.first, m.second) if v >= 0 else (m.second, m.first)
-                chance = 1.0 / (1.0 + np.exp(-m.slope * abs(v)))
-                won[a] += 1 + min(abs(v), 0.9) / 10
-                sure[a], sure[b] = min(sure[a], chance), min(sure[b], 1 - chance)
-        best = max(won, key=lambda x: (won[x], x))
-        return best, float(sure[best])
-
-    def assign(self, segs: list[Segment]) -> None:
-        """A language for every segment; one that is short or unsure goes with its neighbours of the same family."""
-        for s in segs:
-            s.lang, s.confidence = self.judge([w for w, _ in s.words], s.family)
-        sure = [len(s.words) >= 4 and s.confidence >= (0.99 if len(s.words) < 10 else 0.75) for s in segs]
-        for i, s in enumerate(segs):
-            if not sure[i]:
-                near = [k for k, other in enumerate(segs) if sure[k] and other.family == s.family]
-                if near:
-                    s.lang = segs[min(near, key=lambda k: (abs(k - i), k > i))].lang
-
-
-def train(files: DataFrame, labels: DataFrame, max_files: int = 2_000, max_segments: int = 24_000) -> Discriminator:
+        self.names = sorted((x for v in FAMILIES.values() for x in v), reverse=True)
+        self.place: dict[str, int] = {}
+        self.scores: list[np.ndarray] = []
+
+    def _words(self, words: list[str]) -> np.ndarray:
+        """For each word the sums of its pieces' weights in every machine, and how many pieces it has; what was worked out is kept."""
+        if len(self.place) > 200_000:
+            self.place.clear()
+            self.scores.clear()
+        place = self.place
+        for w in words:
+            if w not in place:
+                x = features(w)
+                place[w] = len(self.scores)
+                self.scores.append(np.array([*(m.weights[x].sum() for m in self.machines), len(x)]))
+        return np.stack(self.scores)[[place[w] for w in words]]
+
+    def judge(self, segs: list[Segment]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, its confidence, the confidence of every language of names) of each segment: most duels won, ties by margin; a confidence is the least sure of a language's duels."""
+        if not segs:
+            return [], np.zeros(0), np.zeros((0, len(self.names)))
+        sizes = np.array([len(s.words) for s in segs])
+        sums = np.add.reduceat(self._words([w for s in segs for w, _ in s.words]), np.cumsum(sizes) - sizes, axis=0)
+        margins = sums[:, :-1] / np.sqrt(sums[:, -1:])
+        own = np.array([[name in FAMILIES.get(s.family, ()) for name in self.names] for s in segs])
+        won, sure = np.where(own, 0.0, -1.0), np.where(own, 1.0, 0.0)
+        for m, v in zip(self.machines, margins.T, strict=True):
+            a, b = self.names.index(m.first), self.names.index(m.second)
+            chance = 1.0 / (1.0 + np.exp(-m.slope * v))
+            gain = np.where(own[:, a], 1 + np.minimum(np.abs(v), 0.9) / 10, 0.0)
+            won[:, a] += np.where(v >= 0, gain, 0.0)
+            won[:, b] += np.where(v < 0, gain, 0.0)
+            sure[:, a], sure[:, b] = np.minimum(sure[:, a], chance), np.minimum(sure[:, b], 1 - chance)
+        best = won.argmax(1)
+        none = ~own.any(1)
+        return [UNKNOWN if n else self.names[k] for k, n in zip(best.tolist(), none.tolist(), strict=True)], np.where(none, 0.0, sure[np.arange(len(segs)), best]), sure
+
+    def assign(self, files: list[list[Segment]]) -> None:
+        """A language for every segment of every file; one that is short or unsure goes with its nearest sure neighbour of the same family.
+
+        The confidence of a segment that goes with its neighbour is that of the neighbour, taken as what was known
+        before, and of its own words for that language together, by the rule of Bayes.
+        """
+        langs, confidence, each = self.judge([s for segs in files for s in segs])
+        at = 0
+        for segs in files:
+            for i, s in enumerate(segs):
+                s.lang, s.confidence = langs[at + i], float(confidence[at + i])
+            sure: dict[str, list[int]] = {}
+            for i, s in enumerate(segs):
+                if len(s.words) >= 4 and s.confidence >= (0.99 if len(s.words) < 10 else 0.75):
+                    sure.setdefault(s.family, []).append(i)
+            taken = [(s.lang, s.confidence) for s in segs]
+            for i, s in enumerate(segs):
+                near = sure.get(s.family)
+                if near and s.lang != UNKNOWN:
+                    k = bisect.bisect_left(near, i)
+                    if k < len(near) and near[k] == i:
+                        continue
+                    j = min(near[max(k - 1, 0) : k + 1], key=lambda x: (abs(x - i), x > i))
+                    s.lang, before = taken[j]
+                    q = float(each[at + i, self.names.index(s.lang)])
+                    s.confidence = before * q / max(before * q + (1 - before) * (1 - q), 1e-9)
+            at += len(segs)
+
+
+def train(files: DataFrame, labels: DataFrame, max_files: int = 2_000, max_segments: int = 24_000, per_file: int = 40) -> Discriminator:
     """Machines fitted on segments of at most max_files labelled files, those with the smallest hash of file_id (a bounded sample).
 
-    Labels may be wrong: segments of another family than the file's label say nothing and are left out, and after
-    a first fit the segments that the machines clearly contradict are dropped and the machines fitted once more.
+    Of each file the per_file segments with the smallest hash are taken, wherever they stand in it, and of all these
+    the max_segments with the smallest. Labels may be wrong: segments of another family than the file's label say
+    nothing and are left out, and after a first fit the segments that the machines clearly contradict are dropped and
+    the machines fitted once more.
     """
     known = labels.select("file_id", label(F.col("lang")).alias("lang")).filter("lang is not null").groupBy("file_id").agg(F.min("lang").alias("lang"), F.countDistinct("lang").alias("n")).filter("n = 1")
     sample = files.select("file_id", "pure_text", "headers").join(known, "file_id").withColumn("h", F.xxhash64("file_id")).orderBy("h", "file_id").limit(max_files)
+    sample = sample.repartition(shuffle_width(files.sparkSession), "file_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for t, heads, lang in zip(b["pure_text"], b["headers"], b["lang"], strict=True):
-                fam = next(k for k, v in FAMILIES.items() if lang in v)
-                own = [s for s in segments(read(t, heads)) if s.family == fam and len(s.words) > 3]
-                rows += [(lang, " ".join(w for w, _ in s.words)) for s in own[:40]]
-            yield pd.DataFrame(rows, columns=["lang", "words"])
+            for k, t, heads, lang in zip(b["file_id"], b["pure_text"], b["headers"], b["lang"], strict=True):
+                fam = next(x for x, v in FAMILIES.items() if lang in v)
+                own = [" ".join(w for w, _ in s.words) for s in segments(read(t, heads)) if s.family == fam and len(s.words) > 3]
+                rows += sorted((zlib.crc32(f"{k} {i}".encode()), lang, x) for i, x in enumerate(own))[:per_file]
+            yield pd.DataFrame(rows, columns=["h", "lang", "words"])
 
-    pdf = sample.mapInPandas(run, "lang string, words string").limit(max_segments).toPandas().drop_duplicates()
+    pdf = sample.mapInPandas(run, "h long, lang string, words string").orderBy("h", "lang", "words").limit(max_segments).toPandas()[["lang", "words"]].drop_duplicates()
     machines = []
     for langs in FAMILIES.values():
         for i, a in enumerate(langs):
@@ -218,6 +267,17 @@ def train(files: DataFrame, labels: DataFrame, max_files: int = 2_000, max_segme
     return Discriminator(machines)
 
 
+_JUDGES: dict[str, Discriminator] = {}
+
+
+def _of_worker(name: str, machines: Broadcast) -> Discriminator:
+    """The discriminator of a broadcast, named anew for each, with what it has worked out, once in each worker."""
+    if name not in _JUDGES:
+        _JUDGES.clear()
+        _JUDGES[name] = Discriminator(machines.value)
+    return _JUDGES[name]
+
+
 def _duel(a: str, b: str, pdf: pd.DataFrame) -> Svm:
     rows = pdf[pdf.lang.isin([a, b])]
     cache: dict[str, list[int]] = {}
@@ -249,27 +309,30 @@ def _slope(margin: np.ndarray, y: np.ndarray) -> float:
 def page_languages(spark: SparkSession, files: DataFrame, labels: DataFrame, max_files: int = 2_000) -> DataFrame:
     """(file_id, page_no, lang, confidence, n_words, main, label): every language of every page of every file.
 
-    main is the language of most words of the file, label what its label stands for (null without a usable one;
+    Text in a script of no known family has the language und with confidence 0. main is the language of most words of the file, label what its label stands for (null without a usable one;
     of several usable ones the first in order). Files without a word of a language give no row.
     """
-    judge = train(files, labels, max_files)
+    machines, name = spark.sparkContext.broadcast(train(files, labels, max_files).machines), uuid.uuid4().hex
     usable = labels.select("file_id", label(F.col("lang")).alias("label")).groupBy("file_id").agg(F.min("label").alias("label"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = _of_worker(name, machines)
         for b in batches:
             rows = []
-            for k, t, heads in zip(b["file_id"], b["pure_text"], b["headers"], strict=True):
-                segs = segments(read(t, heads))
-                judge.assign(segs)
+            cut = [segments(read(t, heads)) for t, heads in zip(b["pure_text"], b["headers"], strict=True)]
+            judge.assign(cut)
+            for k, segs in zip(b["file_id"], cut, strict=True):
                 total: dict[str, int] = {}
                 pages: dict[tuple[int, str], list[float]] = {}
                 for s in segs:
                     total[s.lang] = total.get(s.lang, 0) + len(s.words)
                     for _, page in s.words:
-                        pages.setdefault((page, s.lang), []).append(s.confidence)
+                        c = pages.setdefault((page, s.lang), [0.0, 0])
+                        c[0] += s.confidence
+                        c[1] += 1
                 if total:
                     main = max(total, key=lambda x: (total[x], x))
-                    rows += [(k, p, lang, float(np.mean(c)), len(c), main) for (p, lang), c in pages.items()]
+                    rows += [(k, p, lang, c / n, n, main) for (p, lang), (c, n) in pages.items()]
             yield pd.DataFrame(rows, columns=["file_id", "page_no", "lang", "confidence", "n_words", "main"])
 
     schema = "file_id long, page_no int, lang string, confidence double, n_words int, main string"
@@ -279,8 +342,6 @@ def page_languages(spark: SparkSession, files: DataFrame, labels: DataFrame, max
 
 def to_relabel(pages: DataFrame) -> DataFrame:
     """(file_id, page_no, lang) of files without a usable label, with another label than their main language, or in several languages."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("file_id")
     several = F.min("lang").over(w) != F.max("lang").over(w)
-    return pages.withColumn("several", several).filter("label is null or label != main or several").select("file_id", "page_no", "lang").distinct()
+    return pages.filter(F.col("lang") != UNKNOWN).withColumn("several", several).filter("label is null or label != main or several").select("file_id", "page_no", "lang").distinct()
