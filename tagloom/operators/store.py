@@ -87,11 +87,6 @@ def prepared(register: DataFrame) -> DataFrame:
     return rows.select("row_id", F.regexp_replace(F.trim("tag_number"), "^E-", "").alias("tag"), name(F.col("property_name")).alias("name_eng"), name(F.col("property_name_rus")).alias("name_rus"))
 
 
-def condition_of(name: Column, in_header: list[str], if_mentioned: list[str]) -> Column:
-    """How a property is searched; a search in the header goes before a mere mention."""
-    return F.when(name.isin(in_header), "search_in_header").when(name.isin(if_mentioned), "only_if_mentioned").otherwise("none")
-
-
 def dump_rows(dumps: DataFrame) -> DataFrame:
     """Rows of a property dump (id, names, comments as structs of EN and RU) that have both names and an id that is no link."""
     ok = (F.length("names.EN") > 0) & (F.length("names.RU") > 0) & ~F.col("id").contains(".ru") & ~F.col("id").contains(".org") & F.col("id").contains("-")

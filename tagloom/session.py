@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,17 +33,27 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the session's checkpoint folder, so that later uses don't compute it again.
 
     The folder is the one the session names in spark.checkpoint.dir, which all executors share; only where none is
-    named and everything runs on one machine, as in tests, a temporary one is made. A cluster without one is an error.
+    named and everything runs on one machine, as in tests, a temporary one is made, which goes with the process. A
+    cluster without one is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tagloom-"))
+        if not named:
+            named = tempfile.mkdtemp(prefix="tagloom-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint()
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """df, and an observation that has its number of rows as name once df has been computed; Spark's own metrics have the time."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias(name)), seen
+
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tagloom.operators.search import is_tag, tags_in
-
-FILES = "file_id long, file_name string, pages int, pure_text string, headers string, mentioned_tags string, last_update timestamp_ntz"
+from tagloom.sources.schemas import FILES
 
 
 def arriving(spark: SparkSession, folder: str, schema: str = FILES) -> DataFrame:
