@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from dataclasses import dataclass, field
@@ -58,6 +59,15 @@ def _shouted(line: str) -> bool:
     return 3 < len(letters) <= 26 and letters.isupper() and not re.search(r"\d", line) and len(letters) >= 0.7 * len(line.replace(" ", ""))
 
 
+@functools.lru_cache(50_000)
+def _alike(a: str, b: str) -> bool:
+    """True for lines whose ratio is 0.8 or more; the bounds that are quickly found go first."""
+    if 2 * min(len(a), len(b)) < 0.8 * (len(a) + len(b)):
+        return False
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.quick_ratio() >= 0.8 and m.ratio() >= 0.8
+
+
 def mark_running(pages: list[Page], heads: list[tuple[int, str]]) -> None:
     """Fill lines and running of each page: the first and last line of a page where it is a running header, footer or page number.
 
@@ -85,7 +95,7 @@ def mark_running(pages: list[Page], heads: list[tuple[int, str]]) -> None:
             p.running.add(i)
         known = {re.sub(r"\d+", "9", t) for _, _, t in sure}
         for p, i, t in rows:
-            if i not in p.running and len(t) <= 50 and any(SequenceMatcher(None, re.sub(r"\d+", "9", t), k, autojunk=False).ratio() >= 0.8 for k in known if len(k) > 4):
+            if i not in p.running and len(t) <= 50 and any(_alike(re.sub(r"\d+", "9", t), k) for k in known if len(k) > 4):
                 p.running.add(i)
 
 
