@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.glyphs import canonical
+from tagloom.llm.glyphs import canonical, cleaned
 from tagloom.llm.pages import TORN_MARKS, Page, heads_of, read
+from tagloom.session import cut
 
 # --- fixed values: characters that scanning takes for one another; each group shares its first sign ---
 LATIN_CONFUSED = ["o0", "l1i|!íî", "z2", "s5$", "hnb6", "g9q", "ec", "tf"]
@@ -20,8 +25,10 @@ LATIN_SPREAD = {"m": "rh", "d": "el", "u": "ll", "w": "vv"}  # as rn, cl, ii and
 CYRILLIC_CONFUSED = ["о0", "ес", "тг", "инй", "лпд", "з3э", "в8", "б6", "ч4", "шщ", "ьъы"]
 # ------------------------------------------------------------------------------------------------------
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+SPLIT = re.compile(f"({WORD.pattern})")
 LETTERS = re.compile(r"[^\W\d_]")
 CODE = re.compile(r"[A-Z]{1,3}\d{2,}[A-Z]?|\d[\w\-]*-[\w\-]+|[\d.,]+|[A-Z]{1,2}\d+")
+DIGITS = re.compile(r"\d+|.*\d{3,}.*")
 PLAIN_WORD = re.compile(r"(?=..)[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
@@ -44,6 +51,7 @@ class Lexicon:
         self.n = counts
         total = sum(counts.values()) or 1
         self.cost = {w: -math.log(c / total) for w, c in counts.items()}
+        self.least = min(self.cost.values(), default=0.0)
         self.shapes: dict[str, list[str]] = {}
         self.open: dict[str, list[str]] = {}
         for w in counts:
@@ -51,7 +59,18 @@ class Lexicon:
             if len(w) > 4:
                 for i in range(len(w)):
                     self.open.setdefault(f"{w[:i]}?{w[i + 1 :]}", []).append(w)
+        self.longest = max(map(len, counts), default=0) + 2
         self.known: dict[str, str | None] = {}
+        self.read: dict[tuple, list[Reading]] = {}
+
+    def decoded(self, tokens: list[Token]) -> list[Reading]:
+        """decode, kept for stretches that come again."""
+        key = tuple(tokens)
+        if key not in self.read:
+            if len(self.read) > 100_000:
+                self.read.clear()
+            self.read[key] = decode(tokens, self)
+        return self.read[key]
 
     def right(self, word: str) -> str | None:
         """The word itself if it is known, else the commonest word it was misread from, else null."""
@@ -81,23 +100,50 @@ def in_case_of(word: str, like: str) -> str:
     return word[:1].upper() + word[1:] if like[:1].isupper() or (like[:1].isdigit() and len(letters) > 1 and letters[0].isupper()) else word
 
 
-def _tokens(pages: list[Page]) -> list[tuple[str, str, int, str]]:
-    """(word, mark of a tear behind it, page, what separates it from the next: space, line, or break) of all body words in order."""
-    out: list[tuple[str, str, int, str]] = []
+Token = tuple[str, str, str]  # the word, the mark of a tear behind it, what separates it from the next: space, line, or break
+
+
+def _stream(pages: list[Page]) -> tuple[str, list[int]]:
+    """The body of all pages without running lines as one text, and where each page begins in it."""
+    parts, begins, at = [], [], 0
     for p in pages:
-        for i, line in enumerate(p.lines):
-            if i in p.running or not line.strip():
-                continue
-            found = list(WORD.finditer(line))
-            for k, m in enumerate(found):
-                after = line[m.end() : found[k + 1].start()] if k + 1 < len(found) else line[m.end() :]
-                last = k + 1 == len(found)
-                torn = after.strip()
-                mark = torn if len(torn) == 1 and torn in TORN_MARKS and after[:1] == torn and (last or len(after) > 1) else ""
-                out.append((m[0], mark, p.number, "line" if last else "space" if mark or not torn else "break"))
-                if last and torn and not mark:
-                    out[-1] = (*out[-1][:3], "break")
-    return out
+        begins.append(at)
+        part = "\n".join([x for i, x in enumerate(p.lines) if i not in p.running and x.strip()] if p.running else [x for x in p.lines if x.strip()])
+        if part:
+            parts.append(part)
+            at += len(part) + 1
+    return "\n".join(parts), begins
+
+
+def _behind(after: str) -> tuple[str, str]:
+    """(mark, gap) of what stands between two words, up to the line's end."""
+    line, newline, _ = after.partition("\n")
+    torn = line.strip()
+    mark = torn if len(torn) == 1 and torn in TORN_MARKS and line[:1] == torn and (newline or len(line) > 1) else ""
+    return mark, "break" if torn and not mark else "line" if newline else "space"
+
+
+def _tokens(text: str) -> tuple[list[Token], list[int]]:
+    """The words of a text in order, and where each begins."""
+    parts = SPLIT.split(text)  # what stands before, between and behind the words, and the words
+    words, behind = parts[1::2], parts[2::2]
+    if behind and "\n" not in behind[-1]:
+        behind[-1] += "\n"
+    plain = {" ": ("", "space"), "\n": ("", "line")}
+    return [(w, *(plain.get(x) or _behind(x))) for w, x in zip(words, behind, strict=True)], list(accumulate(map(len, parts)))[0:-1:2]
+
+
+def _sound_words(text: str) -> set[str]:
+    """The different words of a text, in small letters, that aren't pieces of a torn one."""
+    parts = SPLIT.split(text)
+    words, behind = parts[1::2], parts[2::2]
+    torn = set()
+    for i, x in enumerate(behind):
+        if x not in (" ", "\n"):
+            mark, gap = _behind(x if i + 1 < len(words) or "\n" in x else x + "\n")
+            if mark:
+                torn.update((i, i + 1) if gap != "break" else (i,))
+    return {w.lower() for w in {w for i, w in enumerate(words) if i not in torn} if (w.isalpha() and len(w) > 1) or PLAIN_WORD.fullmatch(w)}
 
 
 def _judged(word: str) -> bool:
@@ -106,57 +152,153 @@ def _judged(word: str) -> bool:
     return len(word) > 2 and letters > len(word) / 2 and not CODE.fullmatch(word)
 
 
-def decode(tokens: list[tuple[str, str, int, str]], lex: Lexicon) -> list[tuple[int, int, str, str]]:
-    """The cheapest way to read the stream as words: (first token, tokens, the word as read, what happened to it).
+UNKNOWN, UNKNOWN_SIGN, NO_WORD = 30.0, 4.0, 10.0  # cost of a word that isn't known: at least, and a sign; of a number or code
+MISREAD, LEFT_MARK, NO_SPACE, JOIN, JOIN_MARK = 8.0, 25.0, 12.0, 12.0, 1.0
+LEAST_PART = 3
 
-    Dynamic programming over the tokens. A token may be a known word, a misread one, an unknown one or two words run
-    together; two tokens may be one word torn apart, which a mark between them makes cheap and a plain space dear.
-    """
-    n = len(tokens)
-    best: list[tuple[float, int, str, str]] = [(0.0, 0, "", "")] + [(math.inf, 0, "", "")] * n
-    for i in range(n):
-        base = best[i][0]
-        word, mark, _, gap = tokens[i]
 
-        def offer(j: int, cost: float, read_: str, kind: str, base: float = base) -> None:
-            if base + cost < best[j][0]:
-                best[j] = (base + cost, j - i, read_, kind)  # noqa: B023
+def regions(tokens: list[Token], lex: Lexicon) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of the stretches of tokens that can be read in more than one way.
 
-        w = word.lower()
-        torn_cost = 25.0 if mark else 0.0
-        if w in lex.n:
-            offer(i + 1, lex.cost[w] + torn_cost, word, "same")
-        elif not _judged(word):
-            offer(i + 1, 10.0 + torn_cost, word, "same")
+    A known word without a mark that can't be joined to its neighbours has one reading only, so the stream may be cut there without changing the cheapest reading of the rest.
+    """
+    known = lex.n
+    low = [t[0].lower() for t in tokens]
+    last = len(tokens) - 1
+    unknown = {i for i, w in enumerate(low) if w not in known and _judged(tokens[i][0])}
+    marked = {i for i, t in enumerate(tokens) if t[1] and t[2] != "break" and i < last}
+    goes_on = lambda i: i < last and tokens[i][2] != "break" and tokens[i + 1][0][:1].islower()
+    joined = {i for i, (a, b) in enumerate(zip(low, low[1:], strict=False)) if a + b in known and goes_on(i)}
+    joined |= marked | {i for i in unknown if i + 1 in unknown and goes_on(i)}
+    stretches: list[list[int]] = []
+    for i in sorted({*unknown, *joined, *(i for i, t in enumerate(tokens) if t[1])}):
+        if not stretches or i >= stretches[-1][1]:
+            stretches.append([i, i + 1])
+        if i in joined:
+            stretches[-1][1] = i + 2
+    wide: list[tuple[int, int]] = []
+    for first, end in stretches:
+        # a known word beside a stretch belongs to it if some word holds it and a part of the stretch
+        whole = "".join(low[first:end])
+        if first and goes_on(first - 1) and any(low[first - 1] + whole[:k] in known for k in range(1, min(len(whole), lex.longest) + 1)):
+            first -= 1
+        if goes_on(end - 1) and any(whole[k:] + low[end] in known for k in range(max(0, len(whole) - lex.longest), len(whole))):
+            end += 1
+        if wide and first < wide[-1][1]:
+            wide[-1] = (min(first, wide[-1][0]), end)
         else:
-            r = lex.right(word)
-            if r:
-                offer(i + 1, lex.cost[r] + 8.0 + torn_cost, in_case_of(r, word), "misread")
-            offer(i + 1, 30.0 + torn_cost, word, "same")
-            for k in range(3, len(w) - 2):
-                if w[:k] in lex.n and w[k:] in lex.n:
-                    offer(i + 1, lex.cost[w[:k]] + lex.cost[w[k:]] + 12.0 + torn_cost, f"{word[:k]} {word[k:]}", "split")
-        if i + 1 < n and gap != "break" and (mark or tokens[i + 1][0][:1].islower()):
-            nxt = tokens[i + 1][0]
-            if not re.fullmatch(r"\d+|.*\d{3,}.*", word + nxt):
-                step = 1.0 if mark else 12.0
-                for glue in ("-", "") if mark in ("-", "‐") else ("",):
-                    whole = word + glue + nxt
-                    if whole.lower() in lex.n:
-                        offer(i + 2, lex.cost[whole.lower()] + step, whole, "broken")
-                    elif mark:
-                        r = lex.right(whole) if _judged(whole) else None
-                        if r:
-                            offer(i + 2, lex.cost[r] + step + 8.0, in_case_of(r, whole), "broken misread")
-                        if not glue:
-                            offer(i + 2, 32.0, whole, "broken")
-                    elif (r := lex.right(whole)) and w not in lex.n and nxt.lower() not in lex.n and len(whole) > 6:
-                        offer(i + 2, lex.cost[r] + step + 9.0, in_case_of(r, whole), "broken misread")
-    out, j = [], n
-    while j > 0:
-        _, size, read_, kind = best[j]
-        out.append((j - size, size, read_, kind))
-        j -= size
+            wide.append((first, end))
+    yield from wide
+
+
+Reading = tuple[int, int, int, int, str, str]
+
+
+def _at_once(tokens: list[Token], lex: Lexicon) -> list[Reading] | None:
+    """The cheapest reading of the two commonest stretches, where bounds on the costs leave no other: a torn word that is known whole, and a misread word cheaper than any two words."""
+    word = tokens[0][0]
+    if len(tokens) == 1 and not tokens[0][1]:
+        if word.lower() not in lex.n and (r := lex.right(word)) and lex.cost[r] + MISREAD < min(NO_SPACE + 2 * lex.least, UNKNOWN):
+            return [(0, 0, 0, len(word), in_case_of(r, word), "misread")]
+    elif len(tokens) == 2 and tokens[0][1] and not tokens[1][1]:
+        whole = word + tokens[1][0]
+        forms = [f"{word}-{tokens[1][0]}", whole] if tokens[0][1] in ("-", "‐") else [whole]
+        costs = [(lex.cost[f.lower()], i) for i, f in enumerate(forms) if f.lower() in lex.n]
+        if costs and not DIGITS.fullmatch(whole) and min(costs)[0] + JOIN_MARK < LEFT_MARK:
+            joined = min(costs)[0] + JOIN_MARK
+            if joined < NO_SPACE + 2 * lex.least:
+                return [(0, 0, 1, len(tokens[1][0]), forms[min(costs)[1]], "broken")]
+    return None
+
+
+def decode(tokens: list[Token], lex: Lexicon) -> list[Reading]:
+    """The cheapest way to read a stretch of tokens as words: (first token, place in it, last token, end in it, the word as read, what happened to it).
+
+    Dynamic programming over the stream of characters with lines and spaces taken out. A word may begin and end at
+    any character: over borders of tokens, which a mark of a tear makes cheap and a plain space dear, and within an
+    unknown token, where a space is missing. It may be known, misread, or unknown; a tear's hyphen may be its own.
+    """
+    words = [t[0] for t in tokens]
+    if short := _at_once(tokens, lex):
+        return short
+    stream = "".join(words)
+    low = stream.lower()
+    if len(low) != len(stream):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in stream)
+    begin = list(accumulate(map(len, words), initial=0))
+    n, size = len(words), len(stream)
+    known = [low[begin[i] : begin[i + 1]] in lex.n for i in range(n)]
+    judged = [k or _judged(w) for k, w in zip(known, words, strict=True)]
+    token_at = {b: i for i, b in enumerate(begin)}
+    inner = [i for i in range(n) if not known[i] and judged[i] and len(words[i]) >= 2 * LEAST_PART]
+    ends = {*begin[1:], *(p for i in inner for p in range(begin[i] + LEAST_PART, begin[i + 1] - LEAST_PART + 1))}
+    owner = [i for i, w in enumerate(words) for _ in w]
+    stops = sorted(ends)
+    best: dict[int, tuple[float, int, str, str]] = {0: (0.0, 0, "", "")}
+
+    def offer(a: int, b: int, cost: float, read_: str, kind: str) -> None:
+        cost += best[a][0]
+        if b not in best or cost < best[b][0]:
+            best[b] = (cost, a, read_, kind)
+
+    for a in [0, *stops]:
+        if a not in best or a == size:
+            continue
+        i, whole_start = owner[a], a in token_at
+        extra = 0.0 if whole_start else NO_SPACE
+        for b in stops:
+            if b <= a or (b - a < LEAST_PART and not (whole_start and b in token_at)):
+                continue
+            j = owner[b - 1]
+            crossed = range(i, j)
+            if j > i and (tokens[j - 1][2] == "break" or not (tokens[j - 1][1] or words[j][:1].islower())):
+                break
+            marked = j > i and all(tokens[k][1] for k in crossed)
+            if j > i and not marked and b - a > lex.longest:
+                break
+            whole_end = b in token_at
+            cost = extra + sum(JOIN_MARK if tokens[k][1] else JOIN for k in crossed)
+            if whole_end and tokens[j][1]:
+                cost += LEFT_MARK
+            raw = stream[a:b]
+            if j > i and DIGITS.fullmatch(raw):
+                continue
+            kind = "broken" if j > i else "same" if whole_start and whole_end else "split"
+            forms = [raw]
+            hyphens = [begin[k + 1] - a for k in crossed if tokens[k][1] in ("-", "‐")]
+            if hyphens:
+                glued = raw
+                for h in reversed(hyphens):
+                    glued = f"{glued[:h]}-{glued[h:]}"
+                forms.insert(0, glued)
+            for form in forms:
+                f = form.lower()
+                if f in lex.n:
+                    offer(a, b, cost + lex.cost[f], form, kind)
+                elif not (whole_start and whole_end):
+                    continue
+                elif j == i:
+                    if not judged[i]:
+                        offer(a, b, cost + NO_WORD, form, kind)
+                        continue
+                    r = lex.right(form)
+                    if r:
+                        offer(a, b, cost + lex.cost[r] + MISREAD, in_case_of(r, form), "misread")
+                    offer(a, b, cost + max(UNKNOWN, UNKNOWN_SIGN * len(form)), form, kind)
+                elif marked:
+                    r = lex.right(form) if _judged(form) else None
+                    if r:
+                        offer(a, b, cost + lex.cost[r] + MISREAD, in_case_of(r, form), "broken misread")
+                    if form is raw:
+                        offer(a, b, cost + max(UNKNOWN, UNKNOWN_SIGN * len(form)) + JOIN_MARK, form, "broken")
+                elif len(form) > 6 and not any(known[i : j + 1]) and (r := lex.right(form)):
+                    offer(a, b, cost + lex.cost[r] + MISREAD + 1.0, in_case_of(r, form), "broken misread")
+    out, b = [], size
+    while b > 0:
+        _, a, read_, kind = best[b]
+        i, j = owner[a], owner[b - 1]
+        out.append((i, a - begin[i], j, b - begin[j], read_, kind))
+        b = a
     return out[::-1]
 
 
@@ -179,15 +321,14 @@ def paragraphs(lines: list[str], heads: set[str]) -> list[str]:
     def inside(i: int) -> float:
         return 4.0 * (alone[i] or alone[i + 1]) + 1.5 * (1 - len(lines[i]) / width) + 0.5
 
-    cost, back = [0.0], [0]
+    cost, back, within = [0.0], [0], 0.0
+    open_ = (math.inf, 0)  # the cheapest beginning of the paragraph that holds the line, less the cost within up to there
     for j in range(1, len(lines) + 1):
-        options, run = [], 0.0
-        for i in range(j - 1, max(-1, j - 60), -1):
-            options.append((cost[i] + run + (border(i - 1) if i else 0.0), i))
-            run += inside(i - 1) if i else 0.0
-        c, i = min(options)
-        cost.append(c)
-        back.append(i)
+        if j > 1:
+            within += inside(j - 2)
+        open_ = min(open_, (cost[j - 1] - within + (border(j - 2) if j > 1 else 0.0), j - 1))
+        cost.append(open_[0] + within)
+        back.append(open_[1])
     out, j = [], len(lines)
     while j > 0:
         out.append(" ".join(lines[back[j] : j]))
@@ -195,29 +336,31 @@ def paragraphs(lines: list[str], heads: set[str]) -> list[str]:
     return out[::-1]
 
 
-def lexicon(files: DataFrame, share: float = 0.004, least: int = 3) -> dict[str, int]:
+def lexicon(files: DataFrame, share: float = 0.004, least: int = 3, keep: int = 200_000) -> dict[str, int]:
     """Words and in how many files they stand untorn outside running lines, counted over all files; those in share of the files and least at least.
 
     A file of w different words adds w counts, so at most (mean w) / share words are kept, however large the corpus.
-    Words that look like a misreading of one ten times as common are left out.
+    Words that look like a misreading of one ten times as common are left out. A task hands its counts on whenever it
+    holds keep words. The files are read once; the counts are cut from their lineage to be read for the number of
+    files and for the words.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
+        n = 0
         for b in batches:
+            n += len(b)
             for t, heads in zip(b["pure_text"], b["headers"], strict=True):
-                words = set()
-                torn = False
-                for w, mark, _, gap in _tokens(_clean(read(t, heads))):
-                    if not torn and not mark and PLAIN_WORD.fullmatch(w):
-                        words.add(w.lower())
-                    torn = bool(mark) and gap != "break"
-                seen.update(words)
-        yield pd.DataFrame({"word": list(seen), "n": [seen[w] for w in seen]})
+                seen.update(_sound_words(_stream(cleaned(read(t, heads)))[0]))
+            if len(seen) > keep:
+                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                seen.clear()
+        yield pd.DataFrame({"word": [*seen, None], "n": [*seen.values(), n]})
 
     texts = files.select("pure_text", "headers").filter("pure_text is not null")
-    total = texts.count()
-    rows = texts.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(least, share * total)).collect()
+    counts = cut(texts.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = next((r["n"] for r in counts.filter("word is null").collect()), 0)
+    rows = counts.filter(F.col("word").isNotNull() & (F.col("n") >= max(least, share * total))).collect()
     n = {r["word"]: r["n"] for r in rows}
     lex = Lexicon(n)
     out = {}
@@ -228,10 +371,15 @@ def lexicon(files: DataFrame, share: float = 0.004, least: int = 3) -> dict[str,
     return out
 
 
-def _clean(pages: list[Page]) -> list[Page]:
-    for p in pages:
-        p.lines = [x if x.isascii() else canonical(x) for x in p.lines]
-    return pages
+_LEXICONS: dict[str, Lexicon] = {}
+
+
+def _of_worker(name: str, words: Broadcast) -> Lexicon:
+    """The lexicon of a broadcast, named anew for each, built once in each worker, whatever the number of its tasks."""
+    if name not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[name] = Lexicon(words.value)
+    return _LEXICONS[name]
 
 
 def _repairs(key: int, text: str, headers: str | None, lex: Lexicon) -> Iterator[tuple]:
@@ -239,16 +387,20 @@ def _repairs(key: int, text: str, headers: str | None, lex: Lexicon) -> Iterator
     for p in pages:
         for i in sorted(p.running):
             yield key, "pure_text", p.number, "running", p.lines[i].strip()
-    tokens = _tokens(_clean(pages))
-    for first, _, read_, kind in decode(tokens, lex):
-        place = tokens[first][2]
-        if "broken" in kind:
-            yield key, "pure_text", place, "broken", read_
-        if "misread" in kind:
-            yield key, "pure_text", place, "misread", read_
+    body, begins = _stream(cleaned(pages))
+    tokens, starts = _tokens(body)
+    for a, b in regions(tokens, lex):
+        for i, _, _, _, read_, kind in lex.decoded(tokens[a:b]):
+            if kind in ("same", "split"):
+                continue
+            place = pages[bisect.bisect_right(begins, starts[a + i]) - 1].number
+            if "broken" in kind:
+                yield key, "pure_text", place, "broken", read_
+            if "misread" in kind:
+                yield key, "pure_text", place, "misread", read_
     for i, (_, t) in enumerate(heads_of(headers)):
         for m in WORD.finditer(canonical(t)):
-            if _judged(m[0]) and m[0].lower() not in lex.n and (r := lex.right(m[0])):
+            if m[0].lower() not in lex.n and _judged(m[0]) and (r := lex.right(m[0])):
                 yield key, "headers", i, "misread", in_case_of(r, m[0])
 
 
@@ -259,10 +411,10 @@ def repairs(spark: SparkSession, files: DataFrame, share: float = 0.004) -> Data
     (a running header, footer or page number). Null and empty texts and unreadable headers give no row; one row for
     each different fix of a place.
     """
-    words = spark.sparkContext.broadcast(lexicon(files, share))
+    words, name = spark.sparkContext.broadcast(lexicon(files, share)), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(words.value)
+        lex = _of_worker(name, words)
         for b in batches:
             rows = [r for k, t, h in zip(b["file_id"], b["pure_text"], b["headers"], strict=True) for r in dict.fromkeys(_repairs(k, t, h, lex))]
             yield pd.DataFrame(rows, columns=["file_id", "field", "place", "kind", "fixed"])
@@ -273,14 +425,14 @@ def repairs(spark: SparkSession, files: DataFrame, share: float = 0.004) -> Data
 
 def readable(spark: SparkSession, files: DataFrame, share: float = 0.004) -> DataFrame:
     """(file_id, par_no, text): the files as continuous paragraphs: running lines gone, torn words whole, misread ones right."""
-    words = spark.sparkContext.broadcast(lexicon(files, share))
+    words, name = spark.sparkContext.broadcast(lexicon(files, share)), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(words.value)
+        lex = _of_worker(name, words)
         for b in batches:
             rows = []
             for k, t, h in zip(b["file_id"], b["pure_text"], b["headers"], strict=True):
-                pages = _clean(read(t, h))
+                pages = cleaned(read(t, h))
                 lines = [x for p in pages for i, x in enumerate(p.lines) if i not in p.running]
                 rows += [(k, i, mended(x, lex)) for i, x in enumerate(paragraphs(lines, {x for _, x in heads_of(h)}))]
             yield pd.DataFrame(rows, columns=["file_id", "par_no", "text"])
@@ -290,10 +442,12 @@ def readable(spark: SparkSession, files: DataFrame, share: float = 0.004) -> Dat
 
 def mended(paragraph: str, lex: Lexicon) -> str:
     """A paragraph of joined lines with its words decoded and its other characters kept."""
-    page = Page(0, 0, paragraph, [paragraph])
-    spans = list(WORD.finditer(paragraph))
+    tokens, starts = _tokens(paragraph)
     out, at = [], 0
-    for first, size, read_, _ in decode(_tokens([page]), lex):
-        out += [paragraph[at : spans[first].start()], read_]
-        at = spans[first + size - 1].end()
+    for a, b in regions(tokens, lex):
+        before = 0
+        for i, p, j, q, read_, kind in lex.decoded(tokens[a:b]):
+            begin = starts[a + i] + p
+            out += [paragraph[at:begin], " " if p and before == begin else "", read_ if kind != "same" else paragraph[begin : starts[a + j] + q]]
+            at = before = starts[a + j] + q
     return "".join([*out, paragraph[at:]])

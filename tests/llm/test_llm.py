@@ -1,6 +1,7 @@
 import base64
 import os
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -70,6 +71,18 @@ def test_languages(spark):
     assert all(0 <= r["confidence"] <= 1 for r in got.collect())
 
 
+def test_confidence_of_segments_that_follow_their_neighbours():
+    a, b = language.Svm("ru", "uk"), language.Svm("de", "en")
+    judge = language.Discriminator([a, b, language.Svm("de", "fr"), language.Svm("en", "fr")])
+    for w, sign in (("слово", 0.05), ("щось", -0.02)):
+        a.weights[language.features(w)] += sign
+    segs = [language.Segment([("слово", 0)] * 12, "cyrillic"), language.Segment([("щось", 0)] * 2, "cyrillic"), language.Segment([("λόγος", 0)] * 5, "other")]
+    judge.assign([segs, []])
+    assert [s.lang for s in segs] == ["ru", "ru", "und"]
+    assert 0.8 < segs[1].confidence < segs[0].confidence < 1 and segs[2].confidence == 0.0
+    assert language.family("λόγος") == "other" and language.family("Gerät") == "latin" and language.family("слово") == "cyrillic"
+
+
 def test_labels(spark):
     d = spark.createDataFrame([(x,) for x in [" EN", "ru-RU", "ukr", "German", "?", "", None, "und", "fre"]], "v string")
     assert [r[0] for r in d.select(language.label(F.col("v"))).collect()] == ["en", "ru", "uk", "de", None, None, None, None, "fr"]
@@ -87,11 +100,27 @@ def test_canonical(text, fixed):
     assert glyphs.canonical(glyphs.canonical(text)) == fixed
 
 
-@given(st.text(max_size=60))
-@settings(max_examples=200, deadline=None)
+UNSTABLE = "aeоаΑνo \n-1\u0301\u0308\u200b\u00a0\u212bａ\u3000ﬁйи\u0306①\u1161\u1100x\u00adΤｶﾞ𝐀"
+
+
+@given(st.one_of(st.text(max_size=60), st.text(alphabet=UNSTABLE, max_size=16)))
+@settings(max_examples=600, deadline=None)
 def test_canonical_is_stable(text):
     once = glyphs.canonical(text)
-    assert glyphs.canonical(once) == glyphs.canonical(glyphs.canonical(once))
+    assert glyphs.canonical(once) == once
+    assert not glyphs.HIDDEN.search(once) and not glyphs.BLANK.search(once)
+    assert unicodedata.is_normalized("NFC", once)
+
+
+@given(st.lists(st.text(alphabet=UNSTABLE.replace("\n", ""), max_size=8), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_canonical_of_lines_is_that_of_each(lines):
+    assert glyphs.canonical("\n".join(lines)).split("\n") == ([glyphs.canonical(x) for x in lines] or [""])
+
+
+@pytest.mark.parametrize(("text", "fixed"), [("a\u200b \u212b", "a \u00c5"), ("\u212b", "\u00c5"), ("ﬁlter", "filter"), ("ｶﾞ", "ガ"), ("①", "①"), ("5 м² ½", "5 м² ½")])
+def test_canonical_by_properties(text, fixed):
+    assert glyphs.canonical(text) == fixed
 
 
 def test_places(spark):
@@ -120,6 +149,41 @@ def test_repairs(spark):
     assert "mechanical seal and record the reading in the log" in text and "[1]" not in text
 
 
+WORDS = ocr.Lexicon(dict.fromkeys("the gas filter pressure of pump mechanical seal check record and reading order warm-up under или".split(), 50))
+
+
+@pytest.mark.parametrize(
+    ("text", "read"),
+    [
+        ("thegasfilter of pump", "the gas filter of pump"), ("pre-\nssu-\nre of", "pressure of"), ("pre ssu re of pump", "pressure of pump"), ("the fil-\ntergas pump", "the filter gas pump"), ("warm-\nup of", "warm-up of"), ("warmup: of", "warmup: of"),
+        ("check themechanicalseal, and", "check the mechanical seal, and"), ("rec0rd the rea¬\nding", "record the reading"), ("12-\n34 of", "12-\n34 of"), ("", ""), ("PX-100 of", "PX-100 of"),
+    ],
+)
+def test_stream_decoding(text, read):
+    assert ocr.mended(text, WORDS) == read
+
+
+def test_cutting_the_stream_changes_nothing():
+    rng = np.random.default_rng(5)
+    words = list(WORDS.n) + ["rccord", "sea1", "xyzzyq", "12"]
+    for _ in range(150):
+        picked = [str(w) for w in rng.choice(words, 9)]
+        text = "".join(w[:2] + ["", "", "-\n", " "][rng.integers(4)] + w[2:] + [" ", " ", "\n", ""][rng.integers(4)] for w in picked)
+        tokens, _ = ocr._tokens(text)
+        whole = [r[4] for r in ocr.decode(tokens, WORDS)]
+        parts, at = [], 0
+        for a, b in ocr.regions(tokens, WORDS):
+            parts += [t[0] for t in tokens[at:a]] + [r[4] for r in ocr.decode(tokens[a:b], WORDS)]
+            at = b
+        assert parts + [t[0] for t in tokens[at:]] == whole, text
+
+
+def test_long_paragraphs():
+    lines = ["this is a long line of text that goes on and on"] * 200
+    assert len(ocr.paragraphs(lines, set())) == 1
+    assert ocr.paragraphs(["Heading", "one line of text that ends here.", "Name: 5 mm", "another"], {"Heading"})[0] == "Heading" and ocr.paragraphs([], set()) == []
+
+
 # ---- problem 8
 
 
@@ -163,6 +227,11 @@ def test_wrong_encodings(spark, shown, written):
         assert got[100, 1] == good
 
 
+@pytest.mark.parametrize(("line", "is_lost"), [("Is it open ?? yes", False), ("Why? Really??", False), ("What ???", False), ("?????? ??? 5 ?C", True), ("выполняет ??????? по", True), ("Gr??e aus", True), ("a\ufffdb", True), ("", False)])
+def test_lost_letters(line, is_lost):
+    assert encoding.lost(line) is is_lost
+
+
 def test_lost_characters():
     assert encoding.reread("Ð”Ð°", "cp1252", "utf-8") == "Да"
     assert encoding.reread("plain Я", "latin-1", "utf-8") is None
