@@ -109,9 +109,8 @@ def lost(line: str) -> bool:
 class Repairer:
     """Best-first search over re-encodings of a word; the cost of its character pairs guides it to the cheapest text.
 
-    It ends with a plausible text, or when no state is left that costs less than the word as it stands: a reading
-    that is undone must make the text cheaper, or be one of the first. depth bounds how often a text may have been
-    read wrongly; the number of states isn't bounded.
+    It goes on only from readings that make the text cheaper, and ends with a plausible text or when none is left.
+    depth bounds how often a text may have been read wrongly; the number of states isn't bounded.
 
     Words are what stands between plain spaces, so that sequences of bytes shown as no-break spaces stay whole. What
     was found for a word is kept, as the same words come again in many lines.
@@ -144,8 +143,6 @@ class Repairer:
         heap, seen = [(start, w, ())], {w}
         while heap:
             c, at, way = heapq.heappop(heap)
-            if c > start:
-                break
             if way and c < 3.3 * (len(at) + 1) and PLAIN.fullmatch(at):
                 break
             if len(way) == self.depth:
@@ -156,7 +153,8 @@ class Repairer:
                     state = (self.word_cost(new), new, (*way, step))
                     if PLAIN.fullmatch(new):
                         best = min(best, state)
-                    heapq.heappush(heap, state)
+                    if state[0] < c:
+                        heapq.heappush(heap, state)
         c, new, way = best
         gain = start - c
         joined = any(step[-1] in ("utf-8", "html", "unicode") for step in way)
