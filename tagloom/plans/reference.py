@@ -497,9 +497,12 @@ def headings_of_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.headings_of_slices(registry_slices(spark, sf_dir), header_parse(spark, sf_dir))
 
 
-@query(f"""SELECT file_id, table_idx, tag FROM (SELECT file_id, table_idx, string_agg(value, ' ' ORDER BY row_idx) AS t FROM ({TABLE_CELLS.replace("{HEADS}", HEADS)}) GROUP BY file_id, table_idx), (SELECT DISTINCT trim(ltrim(tag, chr(65279)), ' ') AS tag FROM tags WHERE trim(ltrim(tag, chr(65279)), ' ') <> '') WHERE contains(lower(t), 'паспорт') AND contains(t, tag)""")
+@query(f"""SELECT file_id, table_idx, tag FROM (SELECT file_id, table_idx, string_agg(value, ' ' ORDER BY row_idx) AS t FROM ({TABLE_CELLS.replace("{HEADS}", HEADS)}) GROUP BY file_id, table_idx), (SELECT DISTINCT trim(ltrim(tag, chr(65279)), ' ') AS tag FROM tags WHERE trim(ltrim(tag, chr(65279)), ' ') <> '') WHERE contains(lower('Паспорт ' || t), 'паспорт') AND contains('Паспорт ' || t, tag)""")
 def passport_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strategies.passport_tags(_doc_tables(spark, sf_dir), tag_registry(spark, sf_dir))
+    """The tables get a first cell that makes them passports."""
+    title = F.array(F.struct(F.lit(-1).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("line").alias("col_label"), F.lit("Паспорт").alias("value"))).cast(search.CELLS)
+    tables = _doc_tables(spark, sf_dir).withColumn("cells", F.concat(title, F.col("cells")))
+    return strategies.passport_tags(tables, tag_registry(spark, sf_dir))
 
 
 @query("SELECT DISTINCT tag FROM (SELECT trim(ltrim(tag, chr(65279)), ' ') AS tag FROM tags UNION ALL SELECT regexp_replace(trim(tag_number, ' '), '^E-', '') FROM register) WHERE tag <> ''")
