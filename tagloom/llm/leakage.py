@@ -154,7 +154,7 @@ class Items:
         gap = np.array([len(x) + 2 for x in letters], int)  # items apart in one coordinate, so that none reaches into another
         self.base = np.cumsum(gap) - gap + 1
         self.flat_starts = np.concatenate([s + b for s, b in zip(starts, self.base, strict=True)]) if starts else np.zeros(0, int)
-        self.letters = np.zeros(int(gap.sum()) + 1, "uint32")
+        self.letters = np.zeros(int(gap.sum()) + max(strides, default=1), "uint32")  # runs are extended by up to stride - 1 letters, beyond the end of the last item too
         for b, x in zip(self.base, letters, strict=True):
             self.letters[b : b + len(x)] = x
         self.indexes = []

@@ -78,3 +78,10 @@ def test_leaks_in_scripts_without_spaces(spark):
     item = "泵壳在每次水压试验期间应承受压力而不泄漏并记录读数"
     docs = [(1, ["说明", item[3:18], "结束"]), (2, [item[:6], "别的", item[12:18]]), (3, [item[2:9] + "误" + item[10:16]])]
     assert _leaked(spark, [(1, [item])], docs) == {(1, 1), (3, 1)}
+
+
+def test_leaks_of_a_last_item_to_its_end(spark):
+    words = "pump casing shall withstand pressure during every hydraulic test without leakage whatsoever".split()
+    for more in range(4):  # one of these ends with an indexed q-gram
+        item = [*words[:-1], words[-1] + "abc"[:more]]
+        assert _leaked(spark, [(1, item)], [(1, item), (2, ["before", *item]), (3, [*item, "after"]), (4, item[:11])]) == {(1, 1), (2, 1), (3, 1)}
