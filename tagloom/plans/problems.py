@@ -8,15 +8,14 @@ from tagloom.operators import units, unpack, widen
 from tagloom.session import table
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = [table(spark, sf_dir, n) for n in ("register", "properties", "validations", "allowed_items")]
-    return units.converted(units.written_units(spark, *t), t[3])
-
-
 def p2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.common_units(spark, *(table(spark, sf_dir, n) for n in ("register", "properties", "validations", "allowed_items")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.converted(p2_units(spark, sf_dir), table(spark, sf_dir, "allowed_items"))
+
+
 def p3_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widen.wide_table(spark, *(table(spark, sf_dir, n) for n in ("register", "properties", "tags")))
 
